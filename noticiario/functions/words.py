@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 NOT_ASCII = re.compile(r"[^\x00-\x7f]")
@@ -55,7 +56,7 @@ def ascii_words(s: str | None) -> list[bytes]:
     return s.encode("ascii", "replace").translate(_KEEP).split()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Markup entities decoded, also when escaped twice; null stays null."""
     return s.map(lambda x: decode(x) if x is not None and "&" in x else x)
