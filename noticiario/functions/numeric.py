@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticiario.functions.text import strip
 
 
-def parse_numeric(c: Column) -> Column:
+def parse_numeric(c: Column, stripped: bool = False) -> Column:
     """A number from its many spellings, as double; null where there is none.
 
     With an exponent a comma is a decimal point. With both separators the last one is the decimal
@@ -32,8 +32,8 @@ def parse_numeric(c: Column) -> Column:
     return F.when(plain.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$"), plain.try_cast("double"))
 
 
-def whole_number(c: Column) -> Column:
+def whole_number(c: Column, stripped: bool = False) -> Column:
     """The whole number a spreadsheet cell spells, as bigint; null where it is none or doesn't fit."""
-    s = strip(c)
-    x = parse_numeric(c)
+    s = c if stripped else strip(c)
+    x = parse_numeric(s, stripped=True)
     return F.when(s.rlike("^[0-9]+$"), s.try_cast("bigint")).when((x == F.floor(x)) & (F.abs(x) < 2.0**53), x.try_cast("bigint"))
