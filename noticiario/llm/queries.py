@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticiario.llm import fusion
+from noticiario.llm import components, fusion, happenings, leakage, ledger, neardup, packing, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,51 @@ def p1_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.fuse(_table(spark, folder, "informe"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_fusion": p1_fusion}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_pairs(_table(spark, folder, "nota"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_classes(_table(spark, folder, "nota"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return components.linked_records(_table(spark, folder, "coincidencia"), _table(spark, folder, "informe"), "noticia_id", "id_duplicada", "id_noticia")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return happenings.found(_table(spark, folder, "informe"))
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return happenings.describe(_table(spark, folder, "informe"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ledger.repeated_rows(_table(spark, folder, "clipping"))
+
+
+def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return ledger.copies(_table(spark, folder, "clipping"))
+
+
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.found(_table(spark, folder, "documents"), _table(spark, folder, "prueba_eval")).distinct()
+
+
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.scrub(_table(spark, folder, "documents"), _table(spark, folder, "prueba_eval"))
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fusion, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p5_found, p5_copies, p6_pack, p7_found, p7_clean, p8_pieces)}
 
 _NOTHING = ", ".join(f"'{w}'" for w in fusion.NOTHING)
 ORACLE: dict[str, str] = {
@@ -33,7 +77,7 @@ with base as (
          nullif(regexp_extract(grupo_noticia, '([0-9]+)', 1), '') as digits,
          case lower(regexp_replace(coalesce(origen_etiqueta, ''), '^\\s+|\\s+$', '', 'g')) when 'analista' then 0 when 'modelo' then 1 when 'regla' then 2 else 3 end as trust
   from informe),
-grouped as (select *, 'G' || lpad(cast(cast(digits as bigint) as varchar), greatest(5, length(cast(cast(digits as bigint) as varchar))), '0') as g,
+grouped as (select *, 'G' || lpad(cast(cast(digits as bigint) as varchar), cast(greatest(5, length(cast(cast(digits as bigint) as varchar))) as integer), '0') as g,
             count(*) over (partition by lote, cast(digits as bigint)) as n from base where digits is not null),
 fields as (select lote, g, n, row_id, momento, trust, 'tono_ia' as campo, tono_ia as v from grouped
            union all select lote, g, n, row_id, momento, trust, 'tema', tema from grouped
@@ -42,4 +86,17 @@ said as (select * from fields where n >= 2
          and regexp_replace(strip_accents(lower(coalesce(v, ''))), '[^a-z0-9]+', '', 'g') not in ({_NOTHING}))
 select lote, g as grupo_noticia, campo, row_id from (
   select *, row_number() over (partition by lote, g, campo order by trust, momento desc, row_id) as k from said) where k = 1""",
+    "p3_found": """
+with recursive spelt as (
+  select a, b from (select trim(noticia_id, chr(160) || ' ') as x, trim(id_duplicada, chr(160) || ' ') as y from coincidencia) t,
+  lateral (select case when regexp_full_match(x, '[0-9]+') then try_cast(x as bigint)
+                       when regexp_full_match(x, '[0-9]{1,3}([.][0-9]{3})+|[0-9]{1,3}(,[0-9]{3})+') then try_cast(regexp_replace(x, '[.,]', '', 'g') as bigint)
+                       when regexp_full_match(x, '[0-9.]+([eE][+-]?[0-9]+)?') and try_cast(x as double) = floor(try_cast(x as double)) then try_cast(try_cast(x as double) as bigint) end as a,
+                  case when regexp_full_match(y, '[0-9]+') then try_cast(y as bigint)
+                       when regexp_full_match(y, '[0-9]{1,3}([.][0-9]{3})+|[0-9]{1,3}(,[0-9]{3})+') then try_cast(regexp_replace(y, '[.,]', '', 'g') as bigint)
+                       when regexp_full_match(y, '[0-9.]+([eE][+-]?[0-9]+)?') and try_cast(y as double) = floor(try_cast(y as double)) then try_cast(try_cast(y as double) as bigint) end as b)),
+links as (select distinct a, b from spelt where a <> b and a in (select id_noticia from informe) and b in (select id_noticia from informe)),
+both_ways as (select a, b from links union select b, a from links),
+reach as (select distinct a as id, a as seen from both_ways union select r.id, e.b from reach r join both_ways e on e.a = r.seen)
+select id as noticia_id, min(seen) as grupo from reach group by id""",
 }
