@@ -61,7 +61,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.step = 0
-        self.paths: dict[int, str] = {}
         atexit.register(self.close)
 
     def save(self, df: DataFrame, **counts) -> tuple[DataFrame, dict]:
@@ -71,13 +70,14 @@ class Scratch:
         exprs = [F.count(F.lit(1)).alias("rows")] + [e.alias(k) for k, e in counts.items()]
         df.observe(watch, *exprs).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
+        back._written_at = path
         return back, watch.get
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.paths.pop(id(df), None)
+            path = getattr(df, "_written_at", None)
             if path:
+                df._written_at = None
                 self._delete(path)
 
     def _delete(self, path: str) -> None:
