@@ -29,11 +29,9 @@ def parse_numeric(c: Column, stripped: bool = False) -> Column:
         .when(dot > 0, F.when((dots > 1) | (s.rlike("^[^.]*[.][^.]{3}$") & ~s.startswith("0.")), no_dots).otherwise(s))
         .otherwise(s)
     )
-    return F.when(plain.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$"), plain.try_cast("double"))
+    return F.regexp_extract(plain, "^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]+)?)$", 1).try_cast("double")
 
 
-def whole_number(c: Column, stripped: bool = False) -> Column:
-    """The whole number a spreadsheet cell spells, as bigint; null where it is none or doesn't fit."""
-    s = c if stripped else strip(c)
-    x = parse_numeric(s, stripped=True)
+def whole_number(s: Column, x: Column) -> Column:
+    """The whole number of a cell, as bigint, from its stripped text and its :func:`parse_numeric`; null where it is none or doesn't fit."""
     return F.when(s.rlike("^[0-9]+$"), s.try_cast("bigint")).when((x == F.floor(x)) & (F.abs(x) < 2.0**53), x.try_cast("bigint"))
