@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticiario.functions.numeric import whole_number
+from noticiario.functions.numeric import parse_numeric, whole_number
 from noticiario.functions.text import strip
 from noticiario.operators.skew import HOT_ROWS, HOT_SHARE, skew_join
 from noticiario.session import Scratch
@@ -88,8 +88,8 @@ def linked_records(pairs: DataFrame, records: DataFrame, left: str, right: str,
     """(noticia_id, grupo) for match pairs whose ends are spelt as numbers and must be known records."""
     scratch = Scratch(pairs.sparkSession, "links")
     cells = pairs.select(strip(F.col(left)).alias("a"), strip(F.col(right)).alias("b"))
-    spelt, _ = scratch.save(cells.select(whole_number(F.col("a"), stripped=True).alias("a"), whole_number(F.col("b"), stripped=True).alias("b")))
-    spelt = spelt.where("a is not null and b is not null and a != b")
+    numbers, _ = scratch.save(cells.select("a", "b", parse_numeric(F.col("a"), stripped=True).alias("x"), parse_numeric(F.col("b"), stripped=True).alias("y")))
+    spelt = numbers.select(whole_number(F.col("a"), F.col("x")).alias("a"), whole_number(F.col("b"), F.col("y")).alias("b")).where("a is not null and b is not null and a != b")
     edges, seen = scratch.save(spelt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = edges.select(F.col("a").alias("v")).unionAll(edges.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     known, _ = scratch.save(ends.join(records.select(F.col(key).cast("bigint").alias("v")), "v", "left_semi"))
