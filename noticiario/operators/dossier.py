@@ -53,9 +53,9 @@ def media_type_wide(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Day first, then ISO; each value by itself. What is no date is null."""
+    """Day first, then ISO; each value by itself, years of two digits being of this century. What is no date is null."""
     s = strip(c)
-    return F.coalesce(*[F.try_to_date(s, f) for f in ("d/M/yyyy", "d-M-yyyy", "yyyy-MM-dd", "d.M.yyyy")], F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+    return F.coalesce(*[F.try_to_date(s, f) for f in ("d/M/yyyy", "d-M-yyyy", "yyyy-MM-dd", "d.M.yyyy", "d/M/yy", "d-M-yy")], F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
 
 
 def config_map(df: DataFrame, key: str = "clave", value: str = "valor", order: str = "row_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""The registered queries of the core, and their SQL where DuckDB can express them."""
+"""The registered queries of the core, over whole tables, and their SQL where DuckDB can express them."""
 
 from __future__ import annotations
 
@@ -7,16 +7,573 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticiario.functions import labels as T
+from noticiario.functions import lexicon as L
+from noticiario.functions.html import body_text
+from noticiario.functions.numeric import parse_numeric
+from noticiario.functions.ratio import may_reach, ratio_at_least
+from noticiario.functions.text import SPELT, strip
+from noticiario.functions.vectors import centroids, cosine
+from noticiario.operators import brand as B
+from noticiario.operators import dossier as D
+from noticiario.operators import duplicates as U
+from noticiario.operators import graph, labeling, stories, tone
+from noticiario.operators.skew import skew_join
+from noticiario.plans import pipeline
+from noticiario.session import Scratch
+
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def unique_stories(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
 
+    return add
 
-QUERIES: dict[str, Query] = {"unique_stories": unique_stories}
-ORACLE: dict[str, str] = {}
+
+# ---- pieces of SQL that say what the columns' functions say
+
+_SP = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def s_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"
+
+
+def s_unaccent(x: str) -> str:
+    for a, b in SPELT:
+        x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return f"strip_accents({x})"
+
+
+def s_fold(x: str) -> str:
+    return f"lower({s_unaccent(f'lower({x})')})"
+
+
+def s_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def s_key(x: str) -> str:
+    return f"regexp_replace({s_fold(f'coalesce({x}, {chr(39) * 2})')}, '[^a-z0-9]+', '', 'g')"
+
+
+def s_mention(x: str) -> str:
+    return f"trim(regexp_replace({s_fold(f'coalesce({x}, {chr(39) * 2})')}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def s_label_words(x: str) -> str:
+    return f"list_filter(string_split({s_mention(x)}, ' '), lambda t: t <> '' and not list_contains({s_list(L.STOPWORDS)}, t))"
+
+
+def s_distinctive(x: str, least: int = 4) -> str:
+    return f"list_distinct(list_filter({s_label_words(x)}, lambda t: length(t) >= {least} and not list_contains({s_list(L.WEAK)}, t) and not regexp_full_match(t, '[0-9]+')))"
+
+
+def s_words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '{_SP}+'), lambda w: w <> '')"
+
+
+def s_title(x: str) -> str:
+    short = s_strip(f"regexp_replace(coalesce({x}, ''), '{_SP}+[|–—-]{_SP}+[^|–—-]+$', '')")
+    rest = s_strip(f"regexp_replace({short}, '^[^:]*:', '')")
+    cut = f"case when contains({short}, ':') and length({rest}) >= 10 then {rest} else {short} end"
+    return f"trim(lower(regexp_replace({s_unaccent(f'({cut})')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')))"
+
+
+def s_bare(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[.,;:!?]+$', '')"
+
+
+def s_complete(x: str) -> str:
+    last = s_bare(f"coalesce(list_extract({s_words(x)}, -1), '')")
+    return f"(not list_contains({s_list(L.TRAILING)}, {s_unaccent(last)}) and length({last}) > 1)"
+
+
+def s_headline(x: str) -> str:
+    return f"(regexp_matches({x}, '(?i)^({'|'.join(L.HEADLINE)})([^\\p{{L}}\\p{{N}}_]|$)') or regexp_matches({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(L.STATE)})\\s*$'))"
+
+
+def s_url(x: str) -> str:
+    a = f"regexp_replace(lower({s_strip(f'coalesce({x}, {chr(39) * 2})')}), '^https?://', '')"
+    return f"regexp_replace(regexp_replace({a}, '^www[.]', ''), '/+$', '')"
+
+
+def s_date(x: str) -> str:
+    s = s_strip(x)
+    tries = [f"case when regexp_full_match({s}, '{p}') then try_strptime({s}, '{f}') end" for p, f in (("[0-9]+/[0-9]+/[0-9]{4}", "%d/%m/%Y"), ("[0-9]+-[0-9]+-[0-9]{4}", "%d-%m-%Y"), ("[0-9]{4}-[0-9]+-[0-9]+", "%Y-%m-%d"), ("[0-9]+[.][0-9]+[.][0-9]{4}", "%d.%m.%Y"), ("[0-9]+/[0-9]+/[0-9]{2}", "%d/%m/%y"), ("[0-9]+-[0-9]+-[0-9]{2}", "%d-%m-%y"))]
+    return f"cast(coalesce({', '.join(tries)}, try_strptime(left({s}, 10), '%Y-%m-%d')) as date)"
+
+
+def s_media(x: str) -> str:
+    cases = " ".join(f"when '{k}' then '{v}'" for k, v in L.MEDIA.items())
+    return f"case lower({s_strip(x)}) {cases} else {s_strip(x)} end"
+
+
+# ---- flagship
+
+
+@query(f"""
+with r as (select doc_id, coalesce(source, '') as medio, {s_title('titulo')} as t from documents),
+g as (select t, min(doc_id) as primera from r where t <> '' group by t)
+select r.medio, count(*) as total, cast(count(*) filter (where g.primera is null or g.primera = r.doc_id) as bigint) as unicas,
+       cast(count(*) filter (where g.primera is not null and g.primera <> r.doc_id) as bigint) as duplicadas
+from r left join g using (t) group by 1""")
+def unique_stories(spark, folder):
+    """Stories per outlet, by normalised title: total, first ones, repeats."""
+    r = table(spark, folder, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("medio"), T.title_norm(F.col("titulo")).alias("t"))
+    first = r.where("t != ''").groupBy("t").agg(F.min("doc_id").alias("primera"))
+    j = skew_join(r.withColumn("t", F.when(F.col("t") != "", F.col("t"))), first, ["t"], how="left")
+    again = F.coalesce(F.col("primera") != F.col("doc_id"), F.lit(False))
+    return j.groupBy("medio").agg(F.count(F.lit(1)).alias("total"), F.count_if(~again).alias("unicas"), F.count_if(again).alias("duplicadas"))
+
+
+# ---- text functions
+
+
+@query(f"select row_id, {s_key('medio')} as clave from clipping")
+def key_norm(spark, folder):
+    return table(spark, folder, "clipping").select("row_id", T.key_norm(F.col("medio")).alias("clave"))
+
+
+@query(f"select row_id, {s_mention('titulo')} as texto from clipping")
+def mention_norm(spark, folder):
+    return table(spark, folder, "clipping").select("row_id", T.mention_norm(F.col("titulo")).alias("texto"))
+
+
+@query(f"select row_id, array_to_string({s_label_words('resumen_aclaracion')}, ' ') as texto from nota")
+def label_norm(spark, folder):
+    return table(spark, folder, "nota").select("row_id", T.label_norm(F.col("resumen_aclaracion")).alias("texto"))
+
+
+@query(f"select row_id, {s_title('titulo')} as texto from clipping")
+def title_norm(spark, folder):
+    return table(spark, folder, "clipping").select("row_id", T.title_norm(F.col("titulo")).alias("texto"))
+
+
+@query(f"select row_id, {s_strip(f'''regexp_replace(titulo, '{_SP}*[|]([\\p{{L}}\\p{{M}}\\p{{N}}_]|{_SP})+$', '')''')} as texto from clipping")
+def title_output(spark, folder):
+    return table(spark, folder, "clipping").select("row_id", T.title_output(F.col("titulo")).alias("texto"))
+
+
+@query(f"""
+with f as (select doc_id, {s_strip(f"regexp_replace(text, '<br>|\\[\\.\\.\\.\\]|{_SP}+', ' ', 'g')")} as s from documents),
+g as (select doc_id, case when regexp_matches(s, '[A-ZÁÉÍÓÚÑ]') then regexp_replace(s, '^[^A-ZÁÉÍÓÚÑ]*', '') else s end as s from f)
+select doc_id, case when s = '' or s like '%...' then s else regexp_replace(s, '[.]+$', '') || '...' end as texto from g""")
+def snippet(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", T.snippet(F.col("text")).alias("texto"))
+
+
+@query(f"""select row_id, case when lower({s_strip("coalesce(url_nota, '')")}) in ('nan', 'none', 'null') then '' else {s_url('url_nota')} end as url from clipping""")
+def url_norm(spark, folder):
+    return table(spark, folder, "clipping").select("row_id", T.url_norm(F.col("url_nota")).alias("url"))
+
+
+@query(f"select row_id, {s_complete('subtema')} as completa from informe")
+def label_complete(spark, folder):
+    return table(spark, folder, "informe").select("row_id", T.is_complete(F.col("subtema")).alias("completa"))
+
+
+@query(f"""
+with w as (select row_id, list_slice({s_words('titulo')}, 1, 5) as h, len({s_words('titulo')}) as n from nota),
+k as (select row_id, h, n, coalesce(list_max(list_transform(range(1, len(h) + 1), lambda i: case when list_contains({s_list(L.TRAILING)}, {s_unaccent(s_bare('h[i]'))}) then 0 else i end)), 0) as k from w)
+select row_id, case when n = 0 then 'Sin tema' when k = 0 then h[1] else array_to_string(list_slice(h, 1, k), ' ') end as etiqueta from k""")
+def label_trim(spark, folder):
+    return table(spark, folder, "nota").select("row_id", T.trim_label(F.col("titulo"), 5).alias("etiqueta"))
+
+
+@query(f"""
+select row_id, (len(w) between 2 and 5) and not {s_headline("s")} and (len(w) = 5 or len(list_filter(list_slice(w, 2, 10), lambda x: list_contains({s_list(L.CONNECTIVES)}, {s_unaccent(s_bare('x'))}))) > 0) as valida
+from (select row_id, coalesce(subtema, '') as s, {s_words('subtema')} as w from informe)""")
+def label_valid(spark, folder):
+    return table(spark, folder, "informe").select("row_id", T.valid_subtopic(F.col("subtema")).alias("valida"))
+
+
+@query(f"""
+select row_id, (len(w) between 2 and 5) and not regexp_matches(s, '^[0-9]') and not regexp_matches(s, '(?i)^({'|'.join(L.NUMBER_WORDS)})') and not {s_headline("s")}
+       and not list_contains({s_list(L.GENERIC_TOPICS)}, n) as valida
+from (select row_id, coalesce(tema, '') as s, {s_words('tema')} as w, array_to_string({s_label_words('tema')}, ' ') as n from informe)""")
+def topic_valid(spark, folder):
+    return table(spark, folder, "informe").select("row_id", T.valid_topic(F.col("tema")).alias("valida"))
+
+
+@query()
+def label_clean(spark, folder):
+    return table(spark, folder, "informe").select("row_id", T.clean_topic(F.col("subtema")).alias("etiqueta"))
+
+
+_NUM = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?"
+
+
+def s_number(x: str) -> str:
+    s = f"lower({s_strip(x)})"
+    plain = f"""case when contains({s}, 'e') then replace({s}, ',', '.')
+      when contains({s}, '.') and contains({s}, ',') then case when regexp_matches({s}, ',[^.]*$') then replace(replace({s}, '.', ''), ',', '.') else replace({s}, ',', '') end
+      when contains({s}, ',') then case when length({s}) - length(replace({s}, ',', '')) > 1 or (regexp_matches({s}, '^[^,]*,[^,]{{3}}$') and not starts_with({s}, '0,')) then replace({s}, ',', '') else replace({s}, ',', '.') end
+      when contains({s}, '.') then case when length({s}) - length(replace({s}, '.', '')) > 1 or (regexp_matches({s}, '^[^.]*[.][^.]{{3}}$') and not starts_with({s}, '0.')) then replace({s}, '.', '') else {s} end
+      else {s} end"""
+    return f"case when regexp_full_match({plain}, '{_NUM}') then try_cast({plain} as double) end"
+
+
+@query(f"select row_id, {s_number('dimensioncm2')} as dimension, {s_number('audiencia')} as audiencia, {s_number('tier')} as tier from clipping")
+def numeric_parse(spark, folder):
+    cells = table(spark, folder, "clipping").select("row_id", *[strip(F.col(c)).alias(c) for c in ("dimensioncm2", "audiencia", "tier")])
+    return cells.select("row_id", *[parse_numeric(F.col(a), stripped=True).alias(b) for a, b in (("dimensioncm2", "dimension"), ("audiencia", "audiencia"), ("tier", "tier"))])
+
+
+@query(f"select row_id, {s_date('fecha')} as fecha from clipping")
+def date_parse(spark, folder):
+    return table(spark, folder, "clipping").select("row_id", D.parse_date(F.col("fecha")).alias("fecha"))
+
+
+@query()
+def body_clean(spark, folder):
+    return table(spark, folder, "clipping").select("row_id", body_text(F.col("cuerpo_es")).alias("cuerpo"))
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def json_field(spark, folder):
+    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query(f"""
+with t as (select row_id, {s_strip("coalesce(titulo, '')")} as t, {s_strip("coalesce(resumen_aclaracion, '')")} as r from nota)
+select row_id, left(t || '. ' || t || '. ' || t || '. ' || r, 1800) as texto, md5(left(t || '. ' || t || '. ' || t || '. ' || r, 1800)) as clave from t""")
+def embedding_text(spark, folder):
+    text = T.embedding_text(F.col("titulo"), F.col("resumen_aclaracion"))
+    return table(spark, folder, "nota").select("row_id", text.alias("texto"), F.md5(text.cast("binary")).alias("clave"))
+
+
+# ---- dossier
+
+
+@query(f"""select row_id, tipo, tipo in ('Radio', 'Televisión') as av, tipo in ('Prensa', 'Internet', 'Revistas') as grafica from (select row_id, coalesce({s_media('tipo_de_medio')}, '') as tipo from clipping)""")
+def media_type(spark, folder):
+    t = F.coalesce(D.media_type(F.col("tipo_de_medio")), F.lit(""))
+    return table(spark, folder, "clipping").select("row_id", t.alias("tipo"), t.isin(*D.AV).alias("av"), t.isin(*D.PRINT).alias("grafica"))
+
+
+def _normal(spark, folder):
+    return D.normalize(table(spark, folder, "clipping"), table(spark, folder, "mapa_region"), table(spark, folder, "mapa_internet"))
+
+
+_DATA = "noticia_id fecha hora medio tipo_de_medio seccion_programa titulo autor_conductor nro_pagina dimensioncm2 duracion_nro_caracteres cpe valor_de_nota tier audiencia tono tematica temas_generales_tema cuerpo_es url_nota_av url_streaming_imagen url_nota menciones_empresa empresa_rel".split()
+_NOT_BLANK = "not (" + " and ".join(f"({c} is null or cast({c} as varchar) = '')" for c in _DATA) + ")"
+
+
+def s_map(name: str) -> str:
+    return f"(select clave, arg_max(valor, row_id) as valor from (select row_id, lower({s_strip('clave')}) as clave, valor from {name}) where clave is not null and clave not in ('', 'nan') group by clave)"
+
+
+_BASE = f"""(select row_id, medio, coalesce(r.valor, 'N/A') as region, case when coalesce(tipo, '') = 'Internet' then coalesce(i.valor, medio) else medio end as nuevo, tipo, cpe, valor_de_nota, dimensioncm2, duracion_nro_caracteres
+  from (select *, lower({s_strip('medio')}) as k, {s_media('tipo_de_medio')} as tipo from clipping where {_NOT_BLANK}) c
+  left join {s_map('mapa_region')} r on r.clave = k left join {s_map('mapa_internet')} i on i.clave = k)"""
+
+
+@query(f"select row_id, region, nuevo as medio from {_BASE}")
+def region_lookup(spark, folder):
+    return _normal(spark, folder).select("row_id", "region", "medio")
+
+
+@query(f"select distinct {s_strip('medio')} as medio from {_BASE} where region = 'N/A' and medio is not null and lower({s_strip('medio')}) not in ('', 'nan', 'none')")
+def unmapped_outlets(spark, folder):
+    return D.unmapped_outlets(_normal(spark, folder))
+
+
+@query(f"""select row_id, case when tipo in ('Radio', 'Televisión') then duracion_nro_caracteres else dimensioncm2 end as dimension,
+  case when tipo in ('Radio', 'Televisión') then '0' else duracion_nro_caracteres end as duracion,
+  case when tipo in ('Radio', 'Televisión') then cpe when tipo in ('Prensa', 'Internet', 'Revistas') then valor_de_nota end as cpe from {_BASE}""")
+def value_choice(spark, folder):
+    return _normal(spark, folder).select("row_id", "dimension", "duracion", "cpe")
+
+
+@query(f"""
+with m as (select row_id, list_filter(list_transform(string_split(coalesce(menciones_empresa, ''), ';'), lambda x: {s_strip('x')}), lambda x: x <> '') as l from clipping),
+e as (select row_id, unnest(case when len(l) > 0 then l else [''] end) as mencion, unnest(range(0, greatest(len(l), 1))) as posicion from m)
+select row_id, cast(posicion as integer) as posicion, mencion, row_number() over (order by row_id, posicion) - 1 as expanded_index from e""")
+def mention_explode(spark, folder):
+    rows = table(spark, folder, "clipping").select("row_id", "menciones_empresa")
+    return D.expanded_index(D.explode_mentions(rows)).select("row_id", "posicion", "mencion", "expanded_index")
+
+
+@query()
+def dossier_normalize(spark, folder):
+    n = _normal(spark, folder)
+    return n.select("row_id", "id_noticia", "fecha", "medio", "tipo_de_medio", "region", "titulo", "cpe", F.col("link_nota.url").alias("link_nota"), F.col("link_streaming.url").alias("link_streaming"), "menciones_empresa", F.md5(F.col("resumen_aclaracion").cast("binary")).alias("resumen"))
+
+
+# ---- duplicates
+
+
+@query(f"""
+with c as (select row_id, noticia_id, {s_key('medio')} as m, case when lower({s_strip("coalesce(url_nota, '')")}) in ('nan', 'none', 'null') then '' else {s_url('url_nota')} end as u from clipping),
+f as (select u, m, min(row_id) as primera, arg_min(coalesce(noticia_id, chr(0)), row_id) as id from c where u <> '' and m <> '' group by u, m)
+select c.row_id, nullif(f.id, chr(0)) as id_duplicada from c join f using (u, m) where c.row_id <> f.primera""")
+def url_duplicates(spark, folder):
+    c = table(spark, folder, "clipping").select("row_id", "noticia_id", T.key_norm(F.col("medio")).alias("m"), T.url_norm(F.col("url_nota")).alias("u"))
+    return U.first_of(c, [F.col("u"), F.col("m")], (F.col("u") != "") & (F.col("m") != ""), ["row_id"], "noticia_id").where("_is").select("row_id", F.col("_first").alias("id_duplicada"))
+
+
+@query("""
+with k as (select event_id, user_id, event_type, date_trunc('hour', ts) as h from events),
+f as (select user_id, event_type, h, min(event_id) as primera from k group by all)
+select k.event_id, f.primera as id_duplicada from k join f on k.user_id = f.user_id and k.event_type = f.event_type and k.h = f.h where k.event_id <> f.primera""")
+def broadcast_duplicates(spark, folder):
+    e = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.date_trunc("hour", "ts").alias("h"))
+    keys = [F.col("user_id").cast("string"), F.col("event_type"), F.col("h").cast("string")]
+    return U.first_of(e, keys, F.col("user_id").isNotNull() & F.col("event_type").isNotNull() & F.col("h").isNotNull(), ["event_id"], "event_id").where("_is").select("event_id", F.col("_first").alias("id_duplicada"))
+
+
+@query()
+def dossier_duplicates(spark, folder):
+    """All four rules over the normalised, expanded dossier."""
+    return pipeline.expanded(_normal(spark, folder)).select("expanded_index", "row_id", "mencion", "is_duplicate", "id_duplicada")
+
+
+@query()
+def dossier_kpis(spark, folder):
+    return D.kpis(pipeline.expanded(_normal(spark, folder)))
+
+
+@query()
+def near_titles(spark, folder):
+    """Near-identical titles within one outlet and brand of the generic sheet."""
+    n = table(spark, folder, "nota").select(F.concat_ws("|", T.key_norm(F.col("medio")), T.key_norm(F.col("marca"))).alias("grupo"), F.col("row_id").alias("k"), T.title_norm(F.col("titulo")).alias("t"))
+    return U.title_duplicates(n)
+
+
+# ---- brand
+
+_BRAND, _ALIASES = "Banco Orquidal", ["Lumbral"]
+_QUORUM = " or ".join(f"len(list_intersect(string_split(x, ' '), {s_list(B._name_words(n))})) >= {min(2, len(B._name_words(n)))}" for n in B.variants(_BRAND, _ALIASES) if B._name_words(n))
+_WHOLE = " or ".join(f"contains(' ' || x || ' ', ' {B.plain(n)} ')" for n in B.variants(_BRAND, _ALIASES))
+
+
+@query(f"select row_id, ({_WHOLE} or {_QUORUM}) as menciona from (select row_id, {s_mention('menciones_empresa')} as x from informe)")
+def brand_mentions(spark, folder):
+    return table(spark, folder, "informe").select("row_id", B.exact_mention(T.mention_norm(F.col("menciones_empresa")), B.variants(_BRAND, _ALIASES)).alias("menciona"))
+
+
+@query(f"""
+select row_id, case when len(w) between 2 and 6 then array_to_string(list_transform(w, lambda t: t[1]), '') else '' end as sigla
+from (select row_id, list_filter(string_split({s_mention('medio')}, ' '), lambda t: t <> '' and not list_contains({s_list(L.ACRONYM_EMPTY)}, t)) as w from clipping)""")
+def brand_acronym(spark, folder):
+    return table(spark, folder, "clipping").select("row_id", B.acronym_column(F.col("medio")).alias("sigla"))
+
+
+@query()
+def brand_audit(spark, folder):
+    return B.audit(table(spark, folder, "nota"), "Ferrovía Cuatro", ["Lumbral", "Nevoa Telecom"], "titulo", "resumen_aclaracion").select("row_id", "marca_encontrada", "origen_coincidencia", "coincidencia_marca", "contexto_analizado")
+
+
+# ---- pairs, groups, graph
+
+
+@query(f"select row_id, array_to_string(list_sort({s_distinctive('titulo')}), ' ') as palabras from nota")
+def distinct_tokens(spark, folder):
+    return table(spark, folder, "nota").select("row_id", F.array_join(F.sort_array(T.distinctive(F.col("titulo"))), " ").alias("palabras"))
+
+
+@query(f"""
+with w as (select row_id as id, unnest({s_distinctive(s_title('titulo'))}) as p from nota), d as (select p from w group by p having count(*) between 2 and 100),
+r as (select w.id, w.p from w join d using (p))
+select distinct a.id as i, b.id as j from r a join r b on a.p = b.p and a.id < b.id""")
+def token_pairs(spark, folder):
+    return stories.word_pairs(stories.title_words(table(spark, folder, "nota"), "row_id", "titulo"))
+
+
+@query(f"""
+with w as (select row_id as id, unnest(list_distinct(list_filter(regexp_split_to_array({s_fold("coalesce(titulo, '')")}, '[^a-z]+'), lambda t: length(t) >= 5 and not list_contains({s_list(L.RARE_STOP)}, t)))) as p from informe),
+n as (select greatest(2, cast(floor(count(*) * 0.03) as bigint)) as most from informe), d as (select p from w group by p having count(*) between 2 and (select least(100, most) from n)),
+r as (select w.id, w.p from w join d using (p))
+select distinct a.id as i, b.id as j from r a join r b on a.p = b.p and a.id < b.id""")
+def rare_pairs(spark, folder):
+    """Rows sharing a rare title word; a word's rows are also at most 100, so that pairs stay in proportion to the rows."""
+    df = table(spark, folder, "informe")
+    most = min(100, max(2, int(df.count() * 0.03)))
+    return stories.word_pairs(stories.rare_words(df, "row_id", "titulo"), most)
+
+
+def s_conflict(a: str, b: str) -> str:
+    return "(" + " or ".join(f"(list_has_any({a}, {s_list(x)}) and list_has_any({b}, {s_list(y)})) or (list_has_any({a}, {s_list(y)}) and list_has_any({b}, {s_list(x)}))" for x, y in L.OPPOSED) + ")"
+
+
+@query(f"select row_id, {s_conflict('a', 'b')} as conflicto from (select row_id, {s_distinctive('titulo', 3)} as a, {s_distinctive('resumen_aclaracion', 3)} as b from nota)")
+def action_conflict(spark, folder):
+    return table(spark, folder, "nota").select("row_id", T.action_conflict(T.distinctive(F.col("titulo"), 3), T.distinctive(F.col("resumen_aclaracion"), 3)).alias("conflicto"))
+
+
+_EXACT = f"""
+t as (select row_id as id, list_filter(regexp_split_to_array(regexp_replace({s_fold("coalesce(titulo, '')")}, '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: x <> '') as a,
+             list_filter(regexp_split_to_array(regexp_replace({s_fold("coalesce(resumen_aclaracion, '')")}, '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: x <> '') as b from nota),
+k as (select id, 't' || array_to_string(list_slice(a, 1, 40), ' ') as k from t where len(a) > 0 union all select id, 's' || array_to_string(list_slice(b, 1, 120), ' ') from t where len(b) >= 25),
+f as (select k, min(id) as grupo from k group by k),
+e as (select distinct k.id, f.grupo from k join f using (k) where k.id <> f.grupo)"""
+
+
+@query(f"with {_EXACT} select id, grupo from e")
+def exact_story_groups(spark, folder):
+    return stories.exact_keys(table(spark, folder, "nota"))
+
+
+@query(f"""
+with recursive {_EXACT}, b as (select id as x, grupo as y from e union select grupo, id from e),
+r as (select distinct x as id, x as seen from b union select r.id, b.y from r join b on b.x = r.seen)
+select id, min(seen) as grupo from r group by id""")
+def story_components(spark, folder):
+    return graph.components(stories.exact_keys(table(spark, folder, "nota")), "id", "grupo")
+
+
+@query(f"""
+with recursive {_EXACT}, b as (select id as x, grupo as y from e union select grupo, id from e),
+r as (select distinct x as id, x as seen from b union select r.id, b.y from r join b on b.x = r.seen), g as (select id, min(seen) as grupo from r group by id),
+h as (select row_id, coalesce(g.grupo, row_id) as grupo from nota left join g on g.id = row_id)
+select row_id, 'G' || lpad(cast(dense_rank() over (order by grupo) as varchar), 5, '0') as grupo_noticia from h""")
+def story_group_ids(spark, folder):
+    df = table(spark, folder, "nota")
+    return stories.group_ids(df.select("row_id"), graph.components(stories.exact_keys(df), "id", "grupo"))
+
+
+@query()
+def story_groups(spark, folder):
+    return stories.story_groups(table(spark, folder, "nota").select("row_id", "titulo", "resumen_aclaracion")).select("row_id", "grupo_noticia")
+
+
+@query()
+def title_fuzzy_pairs(spark, folder):
+    """Titles nearly equal among those that share a rare word."""
+    t = table(spark, folder, "nota").select(F.col("row_id").alias("id"), T.title_norm(F.col("titulo")).alias("t"))
+    t, _ = Scratch(spark, "fuzzy").save(t)
+    pairs = stories.word_pairs(t.select("id", F.explode(T.distinctive(F.col("t"))).alias("palabra")))
+    both = pairs.join(t.select(F.col("id").alias("i"), F.col("t").alias("a")), "i").join(t.select(F.col("id").alias("j"), F.col("t").alias("b")), "j")
+    return both.where(may_reach(F.col("a"), F.col("b"), 0.92)).where(ratio_at_least(F.col("a"), F.col("b"), 0.92)).select("i", "j")
+
+
+# ---- vectors
+
+
+@query("""
+select q.vec_id as consulta, e.vec_id as vecino, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 4) as similitud
+from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 50 = 0 and round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 4) >= 0.3""")
+def cosine_search(spark, folder):
+    """Stated queries (ids divisible by 50) against all vectors, in blocks."""
+    e = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    blocks = 16
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("consulta"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    side = e.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    s = F.round(cosine(F.col("q"), F.col("embedding")), 4)
+    return q.join(side, "b").where("consulta != vec_id").select("consulta", F.col("vec_id").alias("vecino"), s.alias("similitud")).where("similitud >= 0.3")
+
+
+@query("""select label, cast(d as integer) as d, round(avg(x), 4) as media from (select label, unnest(embedding) as x, unnest(range(0, len(embedding))) as d from embeddings) group by all""")
+def centroid(spark, folder):
+    c = centroids(table(spark, folder, "embeddings"), "label", "embedding")
+    return c.select("label", F.posexplode("centro").alias("d", "x")).select("label", "d", F.round("x", 4).alias("media"))
+
+
+_CENTER = """
+c as (select label, list(m order by d) as centro from (select label, d, avg(x) as m from (select label, unnest(cast(embedding as double[])) as x, unnest(range(0, len(embedding))) as d from embeddings) group by label, d) group by label),
+s as (select e.label, vec_id, list_cosine_similarity(cast(embedding as double[]), centro) as similitud from embeddings e join c using (label))"""
+
+
+@query(f"with {_CENTER} select label, arg_min(vec_id, (-round(similitud, 9), vec_id)) as representante, round(max(similitud), 4) as similitud from s group by label")
+def medoid(spark, folder):
+    return stories.medoids(table(spark, folder, "embeddings"), "label", "vec_id", "embedding").withColumn("similitud", F.round("similitud", 4))
+
+
+@query(f"""with {_CENTER}, t as (select label, avg(similitud) - 2 * stddev_pop(similitud) as u from s group by label having count(*) >= 3)
+select label, vec_id, similitud < greatest(0.0, u) as fuera from s join t using (label)""")
+def outliers(spark, folder):
+    return stories.outliers(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", floor=0.0).select("label", "vec_id", "fuera")
+
+
+@query(f"with {_CENTER} select label, vec_id, similitud >= 0.35 as pertenece from s")
+def membership(spark, folder):
+    return stories.membership(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", 0.35).select("label", "vec_id", "pertenece")
+
+
+# ---- labels and tone
+
+
+@query(f"""
+with w as (select coalesce(marca, '') as marca, row_id, unnest(l) as p, unnest(range(0, len(l))) as pos from (select marca, row_id, {s_label_words('titulo')} as l from nota)),
+c as (select marca, p as palabra, count(*) as n, min(row_id * 100000 + pos) as f from w where length(p) >= 4 group by 1, 2),
+r as (select *, row_number() over (partition by marca order by n desc, f) as puesto from c)
+select marca, palabra, n, cast(puesto as integer) as puesto from r where puesto <= 10""")
+def top_keywords(spark, folder):
+    df = table(spark, folder, "nota").withColumn("marca", F.coalesce("marca", F.lit("")))
+    return labeling.top_words(df, "marca", "row_id", "titulo", 10)
+
+
+_VOID = "(" + ", ".join(f"'{v}'" for v in labeling.VOID) + ")"
+
+
+@query(f"""
+with w as (select row_id, tema, array_to_string({s_label_words('subtema')}, ' ') as k from informe),
+v as (select k, tema, count(*) as n, min(row_id) as o from w where k not in {_VOID} and lower(trim(coalesce(tema, ''))) not in {_VOID} group by 1, 2),
+b as (select k, arg_min(tema, (-n, o)) as t from v group by k)
+select row_id, coalesce(b.t, w.tema) as tema from w left join b using (k)""")
+def majority_label(spark, folder):
+    return labeling.majority_topic(table(spark, folder, "informe").select("row_id", "tema", "subtema")).select("row_id", "tema")
+
+
+@query()
+def canonical_labels(spark, folder):
+    return labeling.canonical_labels(table(spark, folder, "informe").select("row_id", "subtema"), "subtema")
+
+
+@query()
+def fallback_labels(spark, folder):
+    df = table(spark, folder, "nota").select("row_id", "titulo", F.coalesce("marca", F.lit("")).alias("marca"))
+    return labeling.fallback_labels(df, "marca")
+
+
+@query("""
+with c as (select lote, id_noticia, bool_or(tono = 'Positivo') as p, bool_or(tono = 'Negativo') as n from (select *, coalesce(tono, '') as t from informe) group by 1, 2)
+select i.row_id, case when coalesce(i.tono, '') in ('Neutro', 'N/A', '', 'Nan') and coalesce(p, false) and not coalesce(n, false) then 'Positivo'
+                      when coalesce(i.tono, '') in ('Neutro', 'N/A', '', 'Nan') and coalesce(n, false) and not coalesce(p, false) then 'Negativo' else i.tono end as tono
+from informe i join c on c.lote = i.lote and c.id_noticia = i.id_noticia""")
+def tone_propagation(spark, folder):
+    """Neutral tones take the pole of the records delivered under the same id in the same run."""
+    df = table(spark, folder, "informe").select("row_id", "lote", "id_noticia", "tono")
+    first = df.groupBy("lote", "id_noticia").agg(F.min("row_id").alias("grupo"))
+    groups = df.join(first, ["lote", "id_noticia"]).select(F.col("row_id").alias("id"), "grupo")
+    return tone.propagate(df, groups, "row_id", "tono").select("row_id", "tono")
+
+
+@query()
+def tone_equivalent(spark, folder):
+    return tone.equivalent_pairs(table(spark, folder, "nota"))
+
+
+# ---- whole runs
+
+
+@query()
+def run_dossier(spark, folder):
+    return pipeline.full(table(spark, folder, "clipping"), table(spark, folder, "mapa_region"), table(spark, folder, "mapa_internet"), "Lumbral", ["Banco Orquidal"]).drop("cuerpo_completo", "link_nota", "link_streaming")
+
+
+@query()
+def run_quick(spark, folder):
+    return pipeline.quick(table(spark, folder, "nota"), "Lumbral", [])
+
+
+@query()
+def run_custom(spark, folder):
+    return pipeline.custom(table(spark, folder, "nota"), "Lumbral", []).select("row_id", "tono_ia", "tema", "subtema", "origen_coincidencia")
+
+
+@query()
+def run_sentiment(spark, folder):
+    return pipeline.sentiment(table(spark, folder, "nota"), "Lumbral", []).select("row_id", "tono_ia", "confianza_tono", "marca_encontrada")
