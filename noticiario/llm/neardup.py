@@ -3,8 +3,9 @@
 A token-group matrix over word sets. Equal sets are one class first. Every pair of classes at the threshold
 has a word among the rarest few of both (prefix filter; the order of rarity only decides how fast it goes),
 so candidates meet at such a word. There, the documents of the smaller side are partitioned into groups of
-similar ones, each group keeps the union of its members' words as a row of hashed bits, and a query opens a
-group only if its overlap with the union can still reach the threshold. Members of opened groups must pass
+similar ones (in size, in the place the word has among their rarest, and in a min-hash), each group keeps the
+union of its members' words as a row of hashed bits, and a query opens a group only if its overlap with the
+union, and the words that both have behind the shared one, can still reach the threshold. Members of opened groups must pass
 the same bound with their own bits. What is left is compared word by word. All bounds are upper bounds: no
 pair at the threshold is lost.
 """
@@ -28,8 +29,8 @@ from noticiario.session import Scratch
 THRESHOLD = 0.7
 #: Words in at least 1 / COMMON of the classes are ordered by frequency, rarer ones by hash; so at most COMMON * (mean words) are broadcast.
 COMMON = 2000
-#: Documents in a group of the matrix.
-GROUP = 16
+#: Documents in a group of the matrix: few, so that the union of their words leaves most of the hashed bits free.
+GROUP = 4
 #: Postings of one word above this are split into blocks, each for a task of its own.
 POSTINGS = 20_000
 _PAIRS = 1_500_000
@@ -87,8 +88,8 @@ def _prefixes(common: np.ndarray, ranks: np.ndarray, t: float):
             place = np.arange(len(flat)) - np.repeat(first, n)  # within its document, rarest first
             take = place < probe[doc]
             d = doc[take]
-            arrays = [flat[order][take], ids[d], n[d].astype(np.int32), place[take] < index[d], low[d].view(np.int64), *[b[d].view(np.int64) for b in bits]]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "id", "n", "en_indice", "minimo", *[f"b{k}" for k in range(_BITS)]])
+            arrays = [flat[order][take], ids[d], n[d].astype(np.int32), place[take].astype(np.int32), place[take] < index[d], low[d].view(np.int64), *[b[d].view(np.int64) for b in bits]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "id", "n", "puesto", "en_indice", "minimo", *[f"b{k}" for k in range(_BITS)]])
 
     return run
 
@@ -109,39 +110,50 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray,
 def _candidates(t: float):
     """Pairs of classes that pass the matrix's bounds, from postings sorted by word and block."""
 
-    def of(key: np.ndarray, ids: np.ndarray, n: np.ndarray, indexed: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        change = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-        begin = np.concatenate(([0], change))
+    share = t / (1 + t)
+
+    def of(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, indexed: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.concatenate(([0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1))
         segment = np.repeat(np.arange(len(begin)), np.diff(np.concatenate((begin, [len(ids)]))))
-        rows = np.flatnonzero(indexed)
+        rows = np.flatnonzero(indexed)  # sorted by word and block, then size, place and min-hash
         if not len(rows):
             return
-        seg = segment[rows]
-        heads = np.concatenate(([True], seg[1:] != seg[:-1]))
-        ordinal = np.arange(len(rows)) - np.maximum.accumulate(np.where(heads, np.arange(len(rows)), 0))
-        start = np.flatnonzero(ordinal % GROUP == 0)  # the groups, as ranges of rows
+        spot = (segment[rows] << 32) | n[rows]
+        # what is left for a partner: an index row y fits queries x with share * n_x <= (1 - share) * n_y - place_y
+        reach = (1 - share) * n[rows] - place[rows]
+        # the matrix's groups: up to GROUP rows of one word and block, in order
+        heads = np.concatenate(([True], segment[rows][1:] != segment[rows][:-1]))
+        number = np.arange(len(rows))
+        start = np.flatnonzero((number - np.maximum.accumulate(np.where(heads, number, 0))) % GROUP == 0)
         size = np.diff(np.concatenate((start, [len(rows)])))
-        union = np.stack([np.bitwise_or.reduceat(bits[k][rows], start) for k in range(_BITS)])
-        least, most = np.minimum.reduceat(n[rows], start), np.maximum.reduceat(n[rows], start)
-        of_segment = np.searchsorted(seg[start], np.arange(len(begin) + 1))
-        g0, g1 = of_segment[segment], of_segment[segment + 1]
-        share = t / (1 + t)
-        for p, g in _ranges(g0, g1 - g0):
-            low = np.maximum(least[g], np.ceil(t * n[p] - 1e-9).astype(np.int64))
-            room = n[p] - np.ceil(share * (n[p] + low) - 1e-9).astype(np.int64)
-            ok = (least[g] <= n[p]) & (most[g] >= low) & (room >= 0)
-            p, g, room = p[ok], g[ok], room[ok]
-            missing = sum(np.bitwise_count(bits[k][p] & ~union[k][g]).astype(np.int16) for k in range(_BITS))
+        group = np.repeat(np.arange(len(start)), size)
+        union = [np.bitwise_or.reduceat(b[rows], start) for b in bits]
+        least, far = np.minimum.reduceat(n[rows], start), np.maximum.reduceat(reach, start)
+        # a query's partners: sizes from t * n_x to n_x, and no more than its own place leaves
+        upper = np.minimum(n, np.floor((n - place) / share - n + 1e-9).astype(np.int64))
+        lower = np.ceil(t * n - 1e-9).astype(np.int64)
+        first = np.searchsorted(spot, (segment << 32) | lower)
+        last = np.searchsorted(spot, (segment << 32) | np.maximum(upper, 0), side="right")
+        queries = np.flatnonzero((upper >= lower) & (last > first))
+        g0, g1 = group[first[queries]], group[last[queries] - 1] + 1
+        for k, g in _ranges(g0, g1 - g0):
+            p = queries[k]
+            ok = far[g] >= share * n[p] - 1e-9
+            p, g = p[ok], g[ok]
+            room = n[p] - np.ceil(share * (n[p] + np.maximum(least[g], lower[p])) - 1e-9).astype(np.int64)
+            missing = np.bitwise_count(bits[0][p] & ~union[0][g]).astype(np.int16)
+            for b, u in zip(bits[1:], union[1:]):
+                missing += np.bitwise_count(b[p] & ~u[g])
             ok = missing <= room
             p, g = p[ok], g[ok]
             for w, r in _ranges(start[g], size[g]):
                 x, y = p[w], rows[r]
-                ok = (n[y] < n[x]) | ((n[y] == n[x]) & (ids[y] < ids[x]))
+                ok = (n[y] >= lower[x]) & ((n[y] < n[x]) | ((n[y] == n[x]) & (ids[y] < ids[x])))
                 x, y = x[ok], y[ok]
                 both = n[x] + n[y]
                 need = np.ceil(share * both - 1e-9).astype(np.int64)
-                differ = sum(np.bitwise_count(bits[k][x] ^ bits[k][y]).astype(np.int16) for k in range(_BITS))
-                ok = (differ <= both - 2 * need) & (need <= n[y])
+                differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int16) for b in bits)
+                ok = (differ <= both - 2 * need) & (need <= n[y] - place[y]) & (need <= n[x] - place[x])
                 a, b = np.minimum(ids[x[ok]], ids[y[ok]]), np.maximum(ids[x[ok]], ids[y[ok]])
                 if len(a):
                     pairs = np.unique(np.stack((a, b)), axis=1)
@@ -153,14 +165,14 @@ def _candidates(t: float):
             if not batch.num_rows:
                 continue
             c = {f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema.names)}
-            part = (np.stack((c["token"], c["bloque"].astype(np.int64)), axis=1), c["id"], c["n"].astype(np.int64), c["en_indice"], np.stack([c[f"b{k}"].view(np.uint64) for k in range(_BITS)]))
+            part = (np.stack((c["token"], c["bloque"].astype(np.int64)), axis=1), c["id"], c["n"].astype(np.int64), c["puesto"].astype(np.int64), c["en_indice"], np.stack([c[f"b{k}"].view(np.uint64) for k in range(_BITS)]))
             held.append(part)
             last = part[0][-1]
             if not np.array_equal(held[0][0][0], last):  # the last key may go on in the next batch
-                key, ids, n, indexed, bits = _joined(held)
+                key, ids, n, place, indexed, bits = _joined(held)
                 cut = int(np.flatnonzero(np.any(key != last, axis=1))[-1]) + 1
-                yield from of(key[:cut], ids[:cut], n[:cut], indexed[:cut], bits[:, :cut])
-                held = [(key[cut:], ids[cut:], n[cut:], indexed[cut:], bits[:, cut:])]
+                yield from of(key[:cut], ids[:cut], n[:cut], place[:cut], indexed[:cut], bits[:, :cut])
+                held = [(key[cut:], ids[cut:], n[cut:], place[cut:], indexed[cut:], bits[:, cut:])]
         if held:
             yield from of(*_joined(held))
 
@@ -168,7 +180,7 @@ def _candidates(t: float):
 
 
 def _joined(held: list[tuple]) -> tuple:
-    return tuple(np.concatenate(x, axis=1 if k == 4 else 0) for k, x in enumerate(zip(*held))) if len(held) > 1 else held[0]
+    return tuple(np.concatenate(x, axis=1 if k == 5 else 0) for k, x in enumerate(zip(*held))) if len(held) > 1 else held[0]
 
 
 def classes(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -186,7 +198,7 @@ def links(reps: DataFrame, count: int, scratch: Scratch, threshold: float = THRE
     common = np.array([r[0] for r in rows], np.int64)
     ranks = np.zeros(len(rows), np.uint64)
     ranks[np.lexsort((common, [r[1] for r in rows]))] = np.arange(len(rows), dtype=np.uint64)
-    schema = "token bigint, id bigint, n int, en_indice boolean, minimo bigint, " + ", ".join(f"b{k} bigint" for k in range(_BITS))
+    schema = "token bigint, id bigint, n int, puesto int, en_indice boolean, minimo bigint, " + ", ".join(f"b{k} bigint" for k in range(_BITS))
     shared = spark.sparkContext.broadcast((common, ranks))
     postings, seen = scratch.save(reps.select("id", "n", "tokens").mapInArrow(lambda it: _prefixes(*shared.value, threshold)(it), schema))
     floor = max(POSTINGS, seen["rows"] // 1000)
@@ -199,8 +211,8 @@ def links(reps: DataFrame, count: int, scratch: Scratch, threshold: float = THRE
         split = wide.withColumn("bloque", every).withColumn("en_indice", F.col("en_indice") & (F.col("bloque") == own)).drop("_blocks")
     else:
         split = postings.withColumn("bloque", F.lit(0))
-    placed = split.repartition("token", "bloque").sortWithinPartitions("token", "bloque", "minimo", "id")
-    near = placed.select("token", "bloque", "id", "n", "en_indice", *[f"b{k}" for k in range(_BITS)]).mapInArrow(lambda it: _candidates(threshold)(it), "a bigint, b bigint")
+    placed = split.repartition("token", "bloque").sortWithinPartitions("token", "bloque", "n", "puesto", "minimo", "id")
+    near = placed.select("token", "bloque", "id", "n", "puesto", "en_indice", *[f"b{k}" for k in range(_BITS)]).mapInArrow(lambda it: _candidates(threshold)(it), "a bigint, b bigint")
     pairs = near.distinct()
     left, right = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
