@@ -20,9 +20,10 @@ from noticiario.llm.tokens import VOCABULARY, Counter, counter
 LIMIT, OVERLAP = 512, 64
 #: A boundary counts as near the middle within this share of the part's tokens to either side.
 NEAR = 0.25
-#: White space after a blank line, a line end, the end of a sentence, a clause; strengths 5, 4, 3, 2. Any other white space has 1, the inside of a word 0.
-_BOUNDARY = re.compile(r"(\s*\n\s*\n\s*|\s*\r\n\s*\r\n\s*)|(\s*[\n\r  ]\s*)|(?<=[.!?…])[\"'»”’)\]]*(\s+)|(?<=[,;:—])(\s+)")
-_STRENGTH = (0, 5, 4, 3, 2)
+#: A mark after which a text may pause, with closing quotes and the white space behind it.
+_MARK = re.compile(r"[.!?…,;:—\n\r][\"'»”’)\]]*\s*")
+#: Strengths: blank line, line end, end of a sentence, clause, any white space; 0 inside a word.
+PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE = 5, 4, 3, 2, 1
 SCHEMA = "doc_id bigint, pieza int, inicio int, fin int, nucleo int, n_tokens int, texto string"
 
 
@@ -57,21 +58,51 @@ def _atoms(text: str, c: Counter, limit: int) -> tuple[np.ndarray, np.ndarray, b
     return np.concatenate(([0], np.cumsum(lengths))), np.concatenate(([0], np.cumsum(tokens))), cut
 
 
-def _strengths(text: str, starts: np.ndarray) -> np.ndarray:
-    """Strength of the cut before each atom."""
-    out = np.zeros(len(starts), np.int8)
-    inner = starts[1:-1]
-    space = np.fromiter((text[s].isspace() or text[s - 1].isspace() for s in inner.tolist()), bool, len(inner))
-    out[1:-1] = space
-    marks = [(m.start(m.lastindex), m.end(), _STRENGTH[m.lastindex]) for m in _BOUNDARY.finditer(text)]
-    if marks:
-        lo, hi, strength = (np.array(x) for x in zip(*marks))
-        at = np.searchsorted(starts, hi, side="right") - 1
-        ok = (starts[at] >= lo) & (at > 0) & (at < len(starts) - 1)
-        np.maximum.at(out, at[ok], strength[ok].astype(np.int8))
+def _strengths(text: str, starts: np.ndarray, cut: bool) -> np.ndarray:
+    """Strength of the cut before each atom. Chunks meet at white space; only atoms of cut chunks may meet elsewhere."""
+    out = np.full(len(starts), SPACE, np.int8)
+    if cut:
+        inner = starts[1:-1].tolist()
+        out[1:-1] = np.fromiter((text[s].isspace() or text[s - 1].isspace() for s in inner), bool, len(inner))
+    lo, hi, strength = [], [], []
+    for m in _MARK.finditer(text):
+        mark = m.group()
+        if "\n" in mark or "\r" in mark:
+            lines = mark.count("\n") or mark.count("\r")
+            strength.append(PARAGRAPH if lines > 1 else LINE)
+        elif len(mark) == 1 or not mark[-1].isspace():
+            continue
+        else:
+            strength.append(SENTENCE if mark[0] in ".!?…" else CLAUSE)
+        lo.append(m.start() + 1 if mark[0] not in "\n\r" else m.start())
+        hi.append(m.end())
+    if hi:
+        ends, begins = np.array(hi), np.array(lo)
+        at = np.searchsorted(starts, ends, side="right") - 1
+        ok = (starts[at] >= begins) & (at > 0) & (at < len(starts) - 1)
+        np.maximum.at(out, at[ok], np.array(strength, np.int8)[ok])
     return out
 
 
+def _tokens(text: str, c: Counter, starts: np.ndarray, before: np.ndarray, start: int, hi: int, cut: bool) -> int:
+    """Tokens of the text from character ``start`` to atom ``hi``.
+
+    Whole chunks between white space count what they counted before; only a chunk that is cut, and white
+    space at the end, which may now hold together, are counted again.
+    """
+    end = int(starts[hi])
+    if cut:
+        return c.count(text[start:end])
+    j = int(np.searchsorted(starts, start))
+    head = text[start : starts[j]]
+    if head and head[-1].isspace():
+        return c.count(text[start:end])
+    k = hi
+    while k > j and text[starts[k] - 1].isspace():
+        k -= 1
+    return c.count(head) + int(before[k] - before[j]) + (c.count(text[starts[k] : end]) if k < hi else 0)
+
+
 def split(text: str | None, c: Counter, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
     """(start, end, core start, tokens) of each piece, in characters of the text.
 
@@ -89,7 +120,7 @@ def split(text: str | None, c: Counter, limit: int = LIMIT, overlap: int = OVERL
     total = int(before[-1])
     if total <= limit:
         return [(0, len(text), 0, c.count(text) if cut else total)]
-    strength = _strengths(text, starts)
+    strength = _strengths(text, starts, cut)
     cores: list[tuple[int, int]] = []
     todo = [(0, len(starts) - 1)]
     budget = limit - overlap
@@ -112,7 +143,7 @@ def split(text: str | None, c: Counter, limit: int = LIMIT, overlap: int = OVERL
     for lo, hi in cores:
         core, end = int(starts[lo]), int(starts[hi])
         start = _overlap_start(text, c, starts, before, lo, overlap) if lo else 0
-        tokens = c.count(text[start:end])
+        tokens = _tokens(text, c, starts, before, start, hi, cut)
         while tokens > limit and start < core:  # a cut token may need more tokens than it had
             start += 1
             tokens = c.count(text[start:end])
