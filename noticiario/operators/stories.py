@@ -53,11 +53,12 @@ def story_pairs(df: DataFrame, row: str = "row_id", title: str = "titulo", summa
     both = pairs.join(sides[0], F.col("i") == F.col("id_i")).join(sides[1], F.col("j") == F.col("id_j"))
     both = both.where(~action_conflict(F.col("w3_i"), F.col("w3_j")))
     named = (F.col("t_i") != "") & (F.col("t_j") != "") & may_reach(F.col("t_i"), F.col("t_j"), title_ratio)
-    near = (cosine(F.col("v_i"), F.col("v_j")) >= similar) & (overlap(F.col("w4_i"), F.col("w4_j")) >= shared) if vector else F.lit(False)
-    near = F.coalesce(near, F.lit(False))
-    by_content = both.where(near).select("i", "j")
-    by_title = both.where(~near & named).where(ratio_at_least(F.col("t_i"), F.col("t_j"), title_ratio)).select("i", "j")
-    return by_content.unionByName(by_title)
+    by_title = both.where(named).where(ratio_at_least(F.col("t_i"), F.col("t_j"), title_ratio)).select("i", "j")
+    if not vector:
+        return by_title
+    # words in common are cheap to count, so they come before the vectors
+    by_content = both.where(overlap(F.col("w4_i"), F.col("w4_j")) >= shared).where(cosine(F.col("v_i"), F.col("v_j")) >= similar).select("i", "j")
+    return by_content.unionByName(by_title).distinct()
 
 
 def group_ids(df: DataFrame, groups: DataFrame, row: str = "row_id", name: str = "grupo_noticia") -> DataFrame:
