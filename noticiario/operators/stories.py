@@ -42,23 +42,35 @@ def rare_words(df: DataFrame, row: str, title: str) -> DataFrame:
     return df.select(F.col(row).alias("id"), F.explode(F.array_distinct(w)).alias("palabra"))
 
 
-def story_pairs(df: DataFrame, row: str = "row_id", title: str = "titulo", summary: str = "resumen_aclaracion", vector: str | None = None, title_ratio: float = 0.92, similar: float = 0.94, shared: float = 0.45) -> DataFrame:
-    """(i, j) of equivalent stories: titles nearly equal, or (with vectors) contents close with distinctive words in common; opposed actions never."""
+def story_scores(df: DataFrame, row: str = "row_id", title: str = "titulo", summary: str = "resumen_aclaracion", vector: str | None = None, title_ratio: float = 0.92, similar: float = 0.94, shared: float = 0.45) -> DataFrame:
+    """(i, j, titulo, similitud, comun) of candidate stories that pass a test, as a written table.
+
+    ``titulo`` says that the titles are nearly equal; else (with vectors) the contents' cosine and their share
+    of distinctive words reach ``similar`` and ``shared``. Opposed actions are never alike. A pair may come once for each test.
+    """
     scratch = Scratch(df.sparkSession, "stories")
     text = embedding_text(F.col(title), F.col(summary))
     keep = [F.col(vector).alias("v")] if vector else []
     base, _ = scratch.save(df.select(F.col(row).alias("id"), title_norm(F.col(title)).alias("t"), distinctive(text, 3).alias("w3"), distinctive(text).alias("w4"), *keep))
-    pairs = word_pairs(base.select("id", F.explode(distinctive(F.col("t"))).alias("palabra")))
-    sides = [base.select(*[F.col(c).alias(f"{c}_{x}") for c in base.columns]) for x in "ij"]
-    both = pairs.join(sides[0], F.col("i") == F.col("id_i")).join(sides[1], F.col("j") == F.col("id_j"))
-    both = both.where(~action_conflict(F.col("w3_i"), F.col("w3_j")))
+    pairs, _ = scratch.save(word_pairs(base.select("id", F.explode(distinctive(F.col("t"))).alias("palabra"))))
+
+    def both(*columns: str) -> DataFrame:
+        sides = [base.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("w3", *columns)]) for x in "ij"]
+        return pairs.join(sides[0], "i").join(sides[1], "j").where(~action_conflict(F.col("w3_i"), F.col("w3_j")))
+
     named = (F.col("t_i") != "") & (F.col("t_j") != "") & may_reach(F.col("t_i"), F.col("t_j"), title_ratio)
-    by_title = both.where(named).where(ratio_at_least(F.col("t_i"), F.col("t_j"), title_ratio)).select("i", "j")
-    if not vector:
-        return by_title
-    # words in common are cheap to count, so they come before the vectors
-    by_content = both.where(overlap(F.col("w4_i"), F.col("w4_j")) >= shared).where(cosine(F.col("v_i"), F.col("v_j")) >= similar).select("i", "j")
-    return by_content.unionByName(by_title).distinct()
+    by_title = both("t").where(named).where(ratio_at_least(F.col("t_i"), F.col("t_j"), title_ratio)).select("i", "j", F.lit(True).alias("titulo"), F.lit(0.0).alias("similitud"), F.lit(0.0).alias("comun"))
+    if vector:
+        # words in common are cheap to count, so they come before the vectors
+        content = both("w4", "v").withColumn("comun", overlap(F.col("w4_i"), F.col("w4_j"))).where(F.col("comun") >= shared)
+        content = content.withColumn("similitud", cosine(F.col("v_i"), F.col("v_j"))).where(F.col("similitud") >= similar)
+        by_title = by_title.unionByName(content.select("i", "j", F.lit(False).alias("titulo"), "similitud", "comun"))
+    return scratch.save(by_title)[0]
+
+
+def story_pairs(scores: DataFrame, similar: float = 0.94, shared: float = 0.45) -> DataFrame:
+    """(i, j) of equivalent stories: titles nearly equal, or contents close with distinctive words in common."""
+    return scores.where(F.col("titulo") | ((F.col("similitud") >= similar) & (F.col("comun") >= shared))).select("i", "j").distinct()
 
 
 def group_ids(df: DataFrame, groups: DataFrame, row: str = "row_id", name: str = "grupo_noticia") -> DataFrame:
@@ -71,9 +83,11 @@ def group_ids(df: DataFrame, groups: DataFrame, row: str = "row_id", name: str =
     return skew_join(rows, order, ["_g"]).withColumn(name, F.concat(F.lit("G"), F.lpad(text, F.greatest(F.lit(5), F.length(text)), F.lit("0")))).drop("_g", "_n")
 
 
-def story_groups(df: DataFrame, row: str = "row_id", title: str = "titulo", summary: str = "resumen_aclaracion", vector: str | None = None) -> DataFrame:
-    """``df`` with ``grupo_noticia``: an overlay, labels stay as they are."""
-    return group_ids(df, components(story_pairs(df, row, title, summary, vector), "i", "j"), row)
+def story_groups(df: DataFrame, row: str = "row_id", title: str = "titulo", summary: str = "resumen_aclaracion", vector: str | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``grupo_noticia``: an overlay, labels stay as they are. ``scores``: of :func:`story_scores`, if at hand."""
+    if scores is None:
+        scores = story_scores(df, row, title, summary, vector)
+    return group_ids(df, components(story_pairs(scores), "i", "j"), row)
 
 
 def exact_keys(df: DataFrame, row: str = "row_id", title: str = "titulo", summary: str = "resumen_aclaracion") -> DataFrame:
@@ -120,3 +134,39 @@ def reassign(df: DataFrame, key: str, row: str, vector: str, jump: float = 0.75,
 def membership(df: DataFrame, key: str, row: str, vector: str, least: float) -> DataFrame:
     """(row, key, pertenece): whether a row is at least ``least`` similar to its key's mean."""
     return skew_join(df.select(key, row, vector), centroids(df, key, vector), [key]).where(F.col(vector).isNotNull()).select(row, key, (cosine(F.col(vector), F.col("centro")) >= least).alias("pertenece"))
+
+
+def rare_word_pairs(df: DataFrame, row: str, title: str, vector: str, rows: int, least: float = 0.86) -> DataFrame:
+    """(i, j) of rows that share a rare title word, have close vectors and no opposed actions in their titles.
+
+    Rare: in 2 to max(2, 3 % of ``rows``) rows, and at most ``MOST_ROWS``, so that pairs grow with the rows.
+    """
+    pairs = word_pairs(rare_words(df, row, title), min(MOST_ROWS, max(2, int(rows * 0.03))))
+    sides = [df.select(F.col(row).alias(x), F.col(vector).alias(f"v{x}"), distinctive(F.col(title), 3).alias(f"w{x}")) for x in "ij"]
+    both = pairs.join(sides[0], "i").join(sides[1], "j").where(~action_conflict(F.col("wi"), F.col("wj")))
+    return both.where(cosine(F.col("vi"), F.col("vj")) >= least).select("i", "j")
+
+
+def leader_clusters(pairs: DataFrame) -> DataFrame:
+    """(id, lider): leader clustering in row order: a row not yet taken leads and takes its later partners. ``pairs``: (a, b).
+
+    Components of the pairs are independent of each other, so each is replayed by itself; rows in no cluster of two are left out.
+    """
+    import pandas as pd
+
+    groups = components(pairs)
+    edges = pairs.join(groups.withColumnRenamed("id", "a"), "a").select("grupo", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def play(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[int]] = {}
+        for a, b in zip(pdf["a"], pdf["b"]):
+            near.setdefault(a, []).append(b)
+        leader: dict[int, int] = {}
+        for i in sorted(set(pdf["a"]) | set(pdf["b"])):
+            free = [j for j in sorted(near.get(i, ())) if j not in leader]
+            if i not in leader and free:
+                leader[i] = i
+                leader.update(dict.fromkeys(free, i))
+        return pd.DataFrame(sorted(leader.items()), columns=["id", "lider"], dtype="int64")
+
+    return edges.groupBy("grupo").applyInPandas(play, "id bigint, lider bigint")

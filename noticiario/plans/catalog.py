@@ -556,6 +556,21 @@ def tone_equivalent(spark, folder):
     return tone.equivalent_pairs(table(spark, folder, "nota"))
 
 
+@query()
+def contained_labels(spark, folder):
+    return labeling.merge_contained(table(spark, folder, "informe").select("row_id", "subtema"), "subtema")
+
+
+@query()
+def topic_repeats_subtopic(spark, folder):
+    return table(spark, folder, "informe").select("row_id", labeling.same_as_subtopic(F.col("tema"), F.col("subtema")).alias("igual"))
+
+
+@query()
+def title_leaders(spark, folder):
+    return stories.leader_clusters(title_fuzzy_pairs(spark, folder).select(F.col("i").alias("a"), F.col("j").alias("b")))
+
+
 # ---- whole runs
 
 

@@ -176,3 +176,22 @@ def test_runs_on_odd_tables(spark):
     out = {r.row_id: r for r in pipeline.custom(spark.createDataFrame(rows, schema), "Lumbral", []).collect()}
     assert len(out) == 5 and out[4].tono_ia == "Positivo" and out[4].subtema == out[5].subtema
     assert pipeline.custom(spark.createDataFrame([], schema), "Lumbral", []).count() == 0
+
+
+def test_leader_clusters(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9)], "a bigint, b bigint")
+    assert {r.id: r.lider for r in stories.leader_clusters(pairs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 8: 8, 9: 8}
+
+
+def test_contained_labels(spark):
+    rows = [(1, "Plan de salud rural nuevo"), (2, "Plan de salud rural nuevos"), (3, "Otra cosa")]
+    out = {r.etiqueta: r.mayor for r in labeling.merge_contained(spark.createDataFrame(rows, "row_id bigint, s string"), "s").collect()}
+    assert out == {rows[0][1]: rows[1][1], rows[1][1]: rows[1][1], "Otra cosa": "Otra cosa"}
+    same = spark.createDataFrame([("Salud", "Plan de salud"), ("Banca", "Pesca"), (None, "x")], "a string, b string").select(labeling.same_as_subtopic(F.col("a"), F.col("b")))
+    assert [r[0] for r in same.collect()] == [True, False, False]
+
+
+def test_rare_word_pairs(spark):
+    rows = [(1, "Inauguran biblioteca popular", [1.0, 0.0]), (2, "La biblioteca abre", [1.0, 0.1]), (3, "biblioteca sin datos", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "row_id bigint, titulo string, v array<double>")
+    assert [tuple(r) for r in stories.rare_word_pairs(df, "row_id", "titulo", "v", 100).collect()] == [(1, 2)]
