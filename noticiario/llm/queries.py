@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,7 +71,29 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fusion, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p5_found, p5_copies, p6_pack, p7_found, p7_clean, p8_pieces)}
 
 _NOTHING = ", ".join(f"'{w}'" for w in fusion.NOTHING)
+
+
+def _decoded(x: str) -> str:
+    """Named references of the Latin-1 block and of quotes and dashes in SQL, also when escaped twice."""
+    x = f"replace({x}, '&amp;', '&')"
+    for name, cp in sorted(name2codepoint.items()):
+        if name != "amp" and (160 <= cp < 256 or cp in (34, 60, 62) or 0x2010 <= cp <= 0x2026):
+            x = f"replace({x}, '&{name};', chr({cp}))"
+    return x
+
+
 ORACLE: dict[str, str] = {
+    "p2_found": f"""
+with t as (select row_id, {_decoded("coalesce(titulo, '') || ' ' || coalesce(resumen_aclaracion, '')")} as s from nota),
+w as (select distinct row_id, unnest(regexp_extract_all(lower(strip_accents(regexp_replace(s, '</?[A-Za-z!][^<>]*>', ' ', 'g'))), '[a-z0-9]+')) as w from t),
+n as (select row_id, count(*) as n from w group by 1),
+c as (select a.row_id as x, b.row_id as y, count(*) as k from w a join w b on a.w = b.w and a.row_id < b.row_id group by 1, 2)
+select x as row_id_a, y as row_id_b from c join n a on a.row_id = x join n b on b.row_id = y where 10 * k >= 7 * (a.n + b.n - k)""",
+    "p5_found": f"""
+with t as (select row_id, lower(nfc_normalize({_decoded('titulo')})) as s from clipping),
+k as (select row_id, list_sort(list_filter(list_transform(string_split(s, '|'), lambda p: regexp_replace(p, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda p: p <> '')) as k from t),
+g as (select k, min(row_id) as primera from k where len(k) > 0 group by k having count(*) > 1)
+select row_id, primera as primera_row_id from k join g using (k)""",
     "p1_found": f"""
 with base as (
   select lote, row_id, coalesce(actualizado, timestamp '0001-01-01') as momento, tono_ia, tema, subtema,
