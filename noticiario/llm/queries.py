@@ -82,7 +82,19 @@ def _decoded(x: str) -> str:
     return x
 
 
+def _word_list(x: str) -> str:
+    """The words of a text, in order: entities decoded, tags separating, invisible characters dropped, folded."""
+    s = f"regexp_replace({_decoded(x)}, '</?[A-Za-z!][^<>]*>', ' ', 'g')"
+    s = f"regexp_replace({s}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g')"
+    return f"regexp_extract_all(lower(strip_accents({s})), '[a-z0-9]+')"
+
+
+def _windows(key: str, table: str) -> str:
+    return f"select {key}, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select {key}, w, unnest(range(1, len(w) - 10)) as i from (select {key}, {_word_list('text')} as w from {table}))"
+
+
 ORACLE: dict[str, str] = {
+    "p7_found": f"select distinct doc_id, item_id from ({_windows('doc_id', 'documents')}) d join ({_windows('item_id', 'prueba_eval')}) e using (g)",
     "p2_found": f"""
 with t as (select row_id, {_decoded("coalesce(titulo, '') || ' ' || coalesce(resumen_aclaracion, '')")} as s from nota),
 w as (select distinct row_id, unnest(regexp_extract_all(lower(strip_accents(regexp_replace(s, '</?[A-Za-z!][^<>]*>', ' ', 'g'))), '[a-z0-9]+')) as w from t),
