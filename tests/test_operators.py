@@ -195,3 +195,28 @@ def test_rare_word_pairs(spark):
     rows = [(1, "Inauguran biblioteca popular", [1.0, 0.0]), (2, "La biblioteca abre", [1.0, 0.1]), (3, "biblioteca sin datos", [0.0, 1.0])]
     df = spark.createDataFrame(rows, "row_id bigint, titulo string, v array<double>")
     assert [tuple(r) for r in stories.rare_word_pairs(df, "row_id", "titulo", "v", 100).collect()] == [(1, 2)]
+
+
+def test_equivalent_pairs_need_no_shared_word(spark):
+    from difflib import SequenceMatcher
+
+    told = "la junta aprobo ayer un plan de cinco puntos que ordena el trafico pesado y limita las obras nocturnas en el centro historico"
+    rows = [(1, "Zorros cruzan montes", told), (2, "Bahia quieta", told.replace("ayer", "anoche")), (3, "Hoy mismo", "x"), (4, "Hoy mismos", ""), (5, "", ""), (6, "", None), (7, "Hoy mismo", "x")]
+    rng = random.Random(3)
+    words = "kilo jazz queso hielo faro viga buho".split()
+    for k in range(8, 60):  # texts above and below the length from which difflib leaves out frequent characters
+        rows.append((k, " ".join(rng.choices(words, k=5)), " ".join(rng.choices(words, k=rng.choice([4, 30, 50])))))
+    rows += [(60 + k, "Repetido siempre", "") for k in range(120)]
+    df = spark.createDataFrame(rows, "row_id bigint, titulo string, resumen_aclaracion string")
+    out = {(r.i, r.j) for r in tone.equivalent_pairs(df, block=20).collect()}
+    assert {(1, 2), (3, 4), (3, 7)} <= out and (5, 6) not in out and sum(i >= 60 for i, _ in out) == 120 * 119 // 2
+
+    def alike(a, b):
+        (ta, sa), (tb, sb) = ((t.lower(), (s or "")[:320].strip()) for _, t, s in (a, b))
+        t, s = (SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in ((ta, tb), (sa, sb)))
+        wa, wb = ({w for w in f"{t} {s}".split() if len(w) >= 4} for t, s in ((ta, sa), (tb, sb)))
+        ov = len(wa & wb) / min(len(wa), len(wb)) if wa and wb else 0.0
+        return t >= 0.80 or s >= 0.78 or (t >= 0.62 and s >= 0.58) or (ov >= 0.5 and (t >= 0.55 or s >= 0.55))
+
+    made = [r for r in rows if 8 <= r[0] < 60]
+    assert {p for p in out if 8 <= p[0] and p[1] < 60} == {(a[0], b[0]) for k, a in enumerate(made) for b in made[k + 1 :] if alike(a, b)}
