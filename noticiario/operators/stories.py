@@ -10,12 +10,13 @@ from noticiario.functions.ratio import may_reach, ratio_at_least
 from noticiario.functions.text import fold
 from noticiario.functions.vectors import centroids, cosine
 from noticiario.functions import lexicon as L
+from noticiario.operators.alike import class_edges, class_pairs, ratio_pairs
 from noticiario.operators.graph import components
 from noticiario.operators.numbering import numbered
 from noticiario.operators.skew import skew_join
 from noticiario.session import Scratch
 
-#: Words in more rows than this make no candidates: what the story groups are defined by.
+#: Words in more rows than this make no candidates: what the story groups, and they alone, are defined by.
 MOST_ROWS = 100
 
 
@@ -68,9 +69,40 @@ def story_scores(df: DataFrame, row: str = "row_id", title: str = "titulo", summ
     return scratch.save(by_title)[0]
 
 
+def title_classes(df: DataFrame, row: str = "row_id", title: str = "titulo", theta: float = 0.92, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with the class (k, its first row) of their title as compared, and (a, b, ab, ba) of all classes nearly equal, in which order. Blank titles are in none."""
+    scratch = Scratch(df.sparkSession, "classes")
+    base, _ = scratch.save(df.select(F.col(row).cast("bigint").alias("id"), title_norm(F.col(title)).alias("t")).where("t != ''"))
+    classes, _ = scratch.save(base.groupBy("t").agg(F.min("id").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi")))
+    pairs, _ = scratch.save(ratio_pairs(classes.select("k", "t"), theta, block))
+    members, _ = scratch.save(skew_join(base, classes, ["t"]).withColumn("propia", F.lit(True)))
+    return members, pairs
+
+
+def title_pairs(df: DataFrame, row: str = "row_id", title: str = "titulo", theta: float = 0.92, block: int | None = None) -> DataFrame:
+    """(i, j), i < j, of all rows whose titles are nearly equal, identical ones too."""
+    return class_pairs(*title_classes(df, row, title, theta, block))
+
+
+def subject_edges(df: DataFrame, row: str = "row_id", title: str = "titulo", theta: float = 0.92, shared: float = 0.40, block: int | None = None) -> DataFrame:
+    """(i, j) that connect the rows of one subject: titles nearly equal with distinctive words in common and no opposed actions. All pairs' components, fewer edges."""
+    members, pairs = title_classes(df, row, title, theta, block)
+    w4, w3 = distinctive(F.col("t")), distinctive(F.col("t"), 3)
+    texts, _ = Scratch(df.sparkSession, "subjects").save(members.where("id = k").select("k", w4.alias("w4"), w3.alias("w3")))
+    sides = [texts.select(F.col("k").alias(x), F.col("w4").alias(f"w4_{x}"), F.col("w3").alias(f"w3_{x}")) for x in "ab"]
+    near = pairs.join(sides[0], "a").join(sides[1], "b").where((overlap(F.col("w4_a"), F.col("w4_b")) >= shared) & ~action_conflict(F.col("w3_a"), F.col("w3_b"))).select("a", "b", "ab", "ba")
+    own = (F.size(w4) > 0) & ~action_conflict(w3, w3)
+    return class_edges(members.withColumn("propia", own).drop("t"), near)
+
+
 def story_pairs(scores: DataFrame, similar: float = 0.94, shared: float = 0.45) -> DataFrame:
     """(i, j) of equivalent stories: titles nearly equal, or contents close with distinctive words in common."""
-    return scores.where(F.col("titulo") | ((F.col("similitud") >= similar) & (F.col("comun") >= shared))).select("i", "j").distinct()
+    return scores.where(F.col("titulo")).select("i", "j").unionByName(content_pairs(scores, similar, shared)).distinct()
+
+
+def content_pairs(scores: DataFrame, similar: float = 0.94, shared: float = 0.45) -> DataFrame:
+    """(i, j) whose contents are close with distinctive words in common."""
+    return scores.where(~F.col("titulo") & (F.col("similitud") >= similar) & (F.col("comun") >= shared)).select("i", "j").distinct()
 
 
 def group_ids(df: DataFrame, groups: DataFrame, row: str = "row_id", name: str = "grupo_noticia") -> DataFrame:

@@ -11,7 +11,6 @@ from noticiario.functions import labels as T
 from noticiario.functions import lexicon as L
 from noticiario.functions.html import body_text
 from noticiario.functions.numeric import parse_numeric
-from noticiario.functions.ratio import may_reach, ratio_at_least
 from noticiario.functions.text import SPELT, strip
 from noticiario.functions.vectors import centroids, cosine
 from noticiario.operators import brand as B
@@ -451,12 +450,8 @@ def story_groups(spark, folder):
 
 @query()
 def title_fuzzy_pairs(spark, folder):
-    """Titles nearly equal among those that share a rare word."""
-    t = table(spark, folder, "nota").select(F.col("row_id").alias("id"), T.title_norm(F.col("titulo")).alias("t"))
-    t, _ = Scratch(spark, "fuzzy").save(t)
-    pairs = stories.word_pairs(t.select("id", F.explode(T.distinctive(F.col("t"))).alias("palabra")))
-    both = pairs.join(t.select(F.col("id").alias("i"), F.col("t").alias("a")), "i").join(t.select(F.col("id").alias("j"), F.col("t").alias("b")), "j")
-    return both.where(may_reach(F.col("a"), F.col("b"), 0.92)).where(ratio_at_least(F.col("a"), F.col("b"), 0.92)).select("i", "j")
+    """All rows of nearly equal titles."""
+    return stories.title_pairs(table(spark, folder, "nota"))
 
 
 # ---- vectors

@@ -220,3 +220,16 @@ def test_equivalent_pairs_need_no_shared_word(spark):
 
     made = [r for r in rows if 8 <= r[0] < 60]
     assert {p for p in out if 8 <= p[0] and p[1] < 60} == {(a[0], b[0]) for k, a in enumerate(made) for b in made[k + 1 :] if alike(a, b)}
+
+
+def test_title_pairs_beyond_the_cap(spark):
+    from difflib import SequenceMatcher
+
+    base = "la empresa anuncio su nueva sede regional"
+    rows = [(k, base + (" hoy" if k % 3 == 0 else "")) for k in range(150)] + [(200, "abc de fg hi jk lm no"), (201, "abc de fg hi jk lm ño"), (202, ""), (203, None)]
+    df = spark.createDataFrame(rows, "row_id bigint, titulo string")
+    out = {(r.i, r.j) for r in stories.title_pairs(df, block=1).collect()}
+    text = {k: (t or "").replace("ñ", "n") for k, t in rows}
+    assert out == {(i, j) for i in text for j in text if i < j and text[i] and text[j] and SequenceMatcher(None, text[i], text[j]).ratio() >= 0.92}
+    groups = {r.id: r.grupo for r in graph.components(stories.subject_edges(df), "i", "j").collect()}
+    assert {groups[k] for k in range(150)} == {0} and not {200, 201} & set(groups)  # no distinctive word in common
