@@ -233,3 +233,18 @@ def test_title_pairs_beyond_the_cap(spark):
     assert out == {(i, j) for i in text for j in text if i < j and text[i] and text[j] and SequenceMatcher(None, text[i], text[j]).ratio() >= 0.92}
     groups = {r.id: r.grupo for r in graph.components(stories.subject_edges(df), "i", "j").collect()}
     assert {groups[k] for k in range(150)} == {0} and not {200, 201} & set(groups)  # no distinctive word in common
+
+
+def test_labels_without_a_common_word(spark):
+    rows = [(1, "Deportes"), (2, "Deporte"), (3, "Deportes"), (4, "Sin tema"), (5, "Salud rural de montaña"), (6, "Rural salud"), (7, "Cultura"), (8, None), (9, "-")]
+    df = spark.createDataFrame(rows, "row_id bigint, s string")
+    out = {r.etiqueta: r.canonica for r in labeling.canonical_labels(df, "s").collect()}
+    assert out["Deporte"] == out["Deportes"] == "Deportes" and out["Rural salud"] == out["Salud rural de montaña"] and out["Cultura"] == "Cultura" and len(out) == 7
+    out = {r.etiqueta: r.mayor for r in labeling.merge_contained(df, "s").collect()}
+    assert out["Deporte"] == "Deportes" and out["Rural salud"] == "Rural salud" and len(out) == 7
+
+
+def test_contained_norms_have_no_cap(spark):
+    norms = [(k, f"plan w{k}") for k in range(1200)] + [(2000, "plan w7 centro sur"), (2001, "plan")]
+    out = labeling.contained_norms(spark.createDataFrame(norms, "k bigint, t string")).collect()
+    assert [tuple(r) for r in out] == [(7, 2000)]
