@@ -18,18 +18,24 @@ from noticiario.session import Scratch
 
 #: Words in more rows than this make no candidates: what the story groups, and they alone, are defined by.
 MOST_ROWS = 100
+#: Rows of one word that meet as many others in one task.
+WORD_BLOCK = 500
 
 
 def word_pairs(words: DataFrame, most: int | Column = MOST_ROWS, least: int = 2) -> DataFrame:
     """(i, j), i < j: rows that share a word which ``least`` to ``most`` rows have. ``words``: (id, palabra), distinct.
 
     The rarity is counted first, so a common word never gathers its rows; a rare one makes at most
-    ``most`` * (``most`` - 1) / 2 pairs.
+    ``most`` * (``most`` - 1) / 2 pairs, and no task more than ``WORD_BLOCK`` squared of one word at a time.
     """
     df = words.groupBy("palabra").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most))
-    rare = skew_join(words, df.drop("n"), ["palabra"])
-    a, b = rare.select("palabra", F.col("id").alias("i")), rare.select("palabra", F.col("id").alias("j"))
-    return a.join(b, "palabra").where("i < j").select("i", "j").distinct()
+    rare = skew_join(words, df.withColumn("_c", F.ceil(F.col("n") / WORD_BLOCK).cast("int")).drop("n"), ["palabra"])
+    # the rows of a word are cut into blocks by hash; every two blocks meet by themselves
+    own = rare.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_c")).cast("int"))
+    sides = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).select("palabra", "id", "_b", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
+    a, b = (sides.where(F.col("_b") == F.col(c)).select("palabra", "_x", "_y", F.col("id").alias(x)) for c, x in (("_x", "i"), ("_y", "j")))
+    met = a.join(b, ["palabra", "_x", "_y"]).where("_x < _y or i < j")
+    return met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 
 
 def title_words(df: DataFrame, row: str, title: str) -> DataFrame:
@@ -168,12 +174,17 @@ def membership(df: DataFrame, key: str, row: str, vector: str, least: float) ->
     return skew_join(df.select(key, row, vector), centroids(df, key, vector), [key]).where(F.col(vector).isNotNull()).select(row, key, (cosine(F.col(vector), F.col("centro")) >= least).alias("pertenece"))
 
 
+def rare_limit(rows: int) -> int:
+    """In how many of ``rows`` rows a rare word is at most."""
+    return max(2, int(rows * 0.03))
+
+
 def rare_word_pairs(df: DataFrame, row: str, title: str, vector: str, rows: int, least: float = 0.86) -> DataFrame:
     """(i, j) of rows that share a rare title word, have close vectors and no opposed actions in their titles.
 
-    Rare: in 2 to max(2, 3 % of ``rows``) rows, and at most ``MOST_ROWS``, so that pairs grow with the rows.
+    Rare: in 2 to max(2, 3 % of ``rows``) rows.
     """
-    pairs = word_pairs(rare_words(df, row, title), min(MOST_ROWS, max(2, int(rows * 0.03))))
+    pairs = word_pairs(rare_words(df, row, title), rare_limit(rows))
     sides = [df.select(F.col(row).alias(x), F.col(vector).alias(f"v{x}"), distinctive(F.col(title), 3).alias(f"w{x}")) for x in "ij"]
     both = pairs.join(sides[0], "i").join(sides[1], "j").where(~action_conflict(F.col("wi"), F.col("wj")))
     return both.where(cosine(F.col("vi"), F.col("vj")) >= least).select("i", "j")

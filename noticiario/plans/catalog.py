@@ -397,10 +397,9 @@ n as (select greatest(2, cast(floor(count(*) * 0.03) as bigint)) as most from in
 r as (select w.id, w.p from w join d using (p))
 select distinct a.id as i, b.id as j from r a join r b on a.p = b.p and a.id < b.id""")
 def rare_pairs(spark, folder):
-    """Rows sharing a rare title word; a word's rows are also at most 100, so that pairs stay in proportion to the rows."""
+    """Rows sharing a rare title word: one of at most 3 % of the rows. The SQL beside it also stops at 100 rows a word, so from 3367 rows on it gives fewer."""
     df = table(spark, folder, "informe")
-    most = min(100, max(2, int(df.count() * 0.03)))
-    return stories.word_pairs(stories.rare_words(df, "row_id", "titulo"), most)
+    return stories.word_pairs(stories.rare_words(df, "row_id", "titulo"), stories.rare_limit(df.count()))
 
 
 def s_conflict(a: str, b: str) -> str:

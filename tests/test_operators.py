@@ -248,3 +248,19 @@ def test_contained_norms_have_no_cap(spark):
     norms = [(k, f"plan w{k}") for k in range(1200)] + [(2000, "plan w7 centro sur"), (2001, "plan")]
     out = labeling.contained_norms(spark.createDataFrame(norms, "k bigint, t string")).collect()
     assert [tuple(r) for r in out] == [(7, 2000)]
+
+
+def test_word_pairs_of_a_word_in_many_rows(spark):
+    words = spark.createDataFrame([(k, "puerto") for k in range(1100)] + [(5, "sur"), (2000, "sur"), (2001, "uno")], "id bigint, palabra string")
+    out = stories.word_pairs(words, 1100)
+    assert out.count() == 1100 * 1099 // 2 + 1 and out.where("i >= j").count() == 0
+    assert {tuple(r) for r in stories.word_pairs(words, 1099).collect()} == {(5, 2000)}
+    assert stories.rare_limit(20_000) == 600 and stories.rare_limit(10) == 2
+
+
+def test_rare_pairs_keep_words_of_more_than_100_rows(spark, tmp_path):
+    from noticiario.plans.catalog import QUERIES
+
+    rows = [(k, "puerto" if k < 102 else "ab") for k in range(3500)]
+    spark.createDataFrame(rows, "row_id bigint, titulo string").write.parquet(str(tmp_path / "informe.parquet"))
+    assert QUERIES["rare_pairs"](spark, str(tmp_path)).count() == 102 * 101 // 2
