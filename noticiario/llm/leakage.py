@@ -4,8 +4,8 @@ A broadcast hash set of the normalised n-grams of all evaluation items; workers
 of every document against it, verify each hit word by word, and report the pairs or remove the spans or
 the documents. One narrow pass over the documents: nothing is shuffled.
 
-The set is broadcast only when the items' text is at most ``MOST_CHARS`` characters; beyond that the same
-windows meet in a shuffle join on a 128-bit digest of their words.
+A set is broadcast only for at most ``MOST_CHARS`` characters of items' text; more items are cut into chunks of
+that size, each scanned for in a pass of its own, by the same code and with the same result.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticiario.functions.words import TAG, ascii_of, ascii_words
+from noticiario.operators.skew import skew_join
+from noticiario.session import Scratch
 
 WORDS = 12
-#: The broadcast set takes some 60 bytes a character of evaluation text at most; so it stays below 1 GB.
-MOST_CHARS = 16_000_000
+#: Characters of items in a broadcast set (twice so many at most). It takes some 60 bytes a character, in each Python worker.
+MOST_CHARS = 2_000_000
 _STEP_CHARS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: What html.unescape takes for a character reference.
@@ -135,23 +137,41 @@ def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, list[str |
         yield first, texts
 
 
-def _grams(items: DataFrame, item: str, text: str, n: int, most: int):
-    size = items.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    if size > most:
-        return None
-    rows = [tuple(r) for r in items.select(F.col(item).cast("bigint"), text).collect()]
-    return items.sparkSession.sparkContext.broadcast(Grams(rows, n))
+#: Items longer than this (in words) are cut into overlapping pieces, so that no chunk of items is large by one of them.
+PIECE = 200_000
 
 
-def found(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WORDS, most: int = MOST_CHARS) -> DataFrame:
-    """(doc_id, item_id) of each document that has at least ``n`` words in a row of an item's text; a pair comes once a document row.
-
-    Null and empty texts, and items of fewer than ``n`` words, are in no pair.
-    """
-    grams = _grams(items, item, item_text, n, most)
-    if grams is None:
-        return _found_by_shuffle(docs, items, doc, text, item, item_text, n)
+def _item_pieces(items: DataFrame, item: str, text: str, n: int) -> DataFrame:
+    """(id, text, largo): the items as normalised words; long ones in pieces that share ``n`` - 1 words, so every window is in one piece."""
 
+    def cut(batches):
+        for batch in batches:
+            ids, texts = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = ascii_words(t)
+                for k in range(0, max(0, len(words) - n + 1), PIECE):
+                    ids.append(i)
+                    texts.append(b" ".join(words[k : k + PIECE + n - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+
+    known = items.where(F.col(item).isNotNull())
+    return known.select(F.col(item).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(cut, "id bigint, text string").withColumn("largo", F.length("text"))
+
+
+def _chunks(items: DataFrame, item: str, text: str, n: int, most: int) -> Iterator:
+    """Broadcast sets of windows, each of at most twice ``most`` characters of items (or the longest piece); together all items."""
+    spark = items.sparkSession
+    pieces, seen = Scratch(spark, "items").save(_item_pieces(items, item, text, n), size=F.sum("largo"), longest=F.max("largo"))
+    parts = max(1, -(-(seen["size"] or 0) // max(1, most)))
+    part = lambda: F.pmod(F.xxhash64("id", "text"), F.lit(parts))
+    while parts > 1 and pieces.groupBy(part()).agg(F.sum("largo").alias("s")).agg(F.max("s")).first()[0] > 2 * max(most, seen["longest"]):
+        parts *= 2
+    for k in range(parts):
+        rows = [tuple(r) for r in pieces.where(part() == k).select("id", "text").collect()]  # at most twice ``most`` characters
+        yield spark.sparkContext.broadcast(Grams(rows, n))
+
+
+def _found(docs: DataFrame, grams) -> DataFrame:
     def scan(batches):
         for batch in batches:
             ids = batch.column(0)
@@ -160,42 +180,74 @@ def found(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
                 if pairs:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([p[0] for p in pairs])), pa.array([p[1] for p in pairs], pa.int64())], ["doc_id", "item_id"])
 
-    return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id bigint, item_id bigint")
+    return docs.mapInArrow(scan, "doc_id bigint, item_id bigint")
+
+
+def found(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WORDS, most: int = MOST_CHARS) -> DataFrame:
+    """(doc_id, item_id), distinct, of each document that has at least ``n`` words in a row of an item's text.
+
+    Null and empty texts, and items of fewer than ``n`` words or without an id, are in no pair. Items of more than ``most``
+    characters together are scanned for in chunks: each chunk is one more pass over the documents, with the
+    same set, the same check word by word and the same result.
+    """
+    base = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for grams in _chunks(items, item, item_text, n, most):
+        part = _found(base, grams)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
 
 
-def _found_by_shuffle(docs, items, doc, text, item, item_text, n):
-    def windows(batches):
+def _windows(docs: DataFrame, grams) -> DataFrame:
+    """(doc_id, huella, ventana): first words of the windows found, with a digest of the document's text."""
+
+    def scan(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0)
             for first, texts in _pieces(batch, "text"):
-                out = set()
-                for k, t in enumerate(texts):
-                    words = ascii_words(t)
-                    out |= {(hashlib.blake2b(b" ".join(words[i : i + n]), digest_size=16).digest(), ids[first + k]) for i in range(len(words) - n + 1)}
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.int64())], ["gram", "id"])
+                hits = sorted({(d, i) for d, i, _ in grams.value.scan(texts)})
+                if hits:
+                    marks = {d: hashlib.md5(texts[d].encode("utf-8", "surrogatepass")).hexdigest() for d, _ in hits}
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([first + d for d, _ in hits])), pa.array([marks[d] for d, _ in hits]), pa.array([i for _, i in hits], pa.int64())], ["doc_id", "huella", "ventana"])
 
-    of = lambda df, key, t: df.select(F.col(key).cast("bigint").alias("id"), F.col(t).alias("text")).mapInArrow(windows, "gram binary, id bigint")
-    pairs = of(docs, doc, text).withColumnRenamed("id", "doc_id").join(of(items, item, item_text).withColumnRenamed("id", "item_id"), "gram")
-    return pairs.select("doc_id", "item_id").distinct()
+    return docs.mapInArrow(scan, "doc_id bigint, huella string, ventana bigint")
 
 
-def scrub(docs: DataFrame, items: DataFrame, remove: str = "spans", doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WORDS) -> DataFrame:
+def scrub(docs: DataFrame, items: DataFrame, remove: str = "spans", doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WORDS, most: int = MOST_CHARS) -> DataFrame:
     """(doc_id, ventanas, text): the documents without the leaked spans, or (``remove='documents'``) without the documents that have any.
 
     ``ventanas`` counts the windows of ``n`` words found. Documents without hits keep their text as it is.
+    One chunk of items is one narrow pass; of more, the windows of all chunks are gathered for each document
+    (its id and text) and removed together.
     """
-    grams = _grams(items, item, item_text, n, 1 << 62)
+    if remove not in ("spans", "documents"):
+        raise ValueError(remove)
+    base = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    chunks = list(_chunks(items, item, item_text, n, most))
+    if len(chunks) > 1:
+        hits = _windows(base, chunks[0])
+        for grams in chunks[1:]:
+            hits = hits.unionByName(_windows(base, grams))
+        gathered, _ = Scratch(docs.sparkSession, "windows").save(hits.distinct().groupBy("doc_id", "huella").agg(F.collect_list("ventana").alias("lista")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))))
+        keyed = base.withColumn("huella", F.md5(F.col("text").cast("binary"))).withColumn("_d", F.coalesce("doc_id", F.lit(-1)))
+        joined = skew_join(keyed, gathered.withColumnRenamed("doc_id", "_d"), ["_d", "huella"], how="left").select("doc_id", "text", "lista")
+    else:
+        joined = base
+    one = chunks[0] if len(chunks) == 1 else None
 
     def clean(batches):
         for batch in batches:
             ids = batch.column(0)
+            known = None if one else batch.column(2).to_pylist()
             for first, texts in _pieces(batch, "text"):
                 hits: dict[int, list[int]] = {}
-                for d, i, _ in grams.value.scan(texts):
-                    hits.setdefault(d, []).append(i)
+                if known is None:
+                    for d, i, _ in one.value.scan(texts):
+                        hits.setdefault(d, []).append(i)
+                else:
+                    hits = {k: known[first + k] for k in range(len(texts)) if known[first + k]}
                 keep = [k for k in range(len(texts)) if remove == "spans" or k not in hits]
                 clear = [without_spans(texts[k], hits[k], n) if k in hits else texts[k] for k in keep]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([first + k for k in keep], pa.int64())), pa.array([len(hits.get(k, ())) for k in keep], pa.int64()), pa.array(clear, pa.string())], ["doc_id", "ventanas", "text"])
 
-    return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(clean, "doc_id bigint, ventanas bigint, text string")
+    return joined.mapInArrow(clean, "doc_id bigint, ventanas bigint, text string")

@@ -24,6 +24,11 @@ def p1_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.fuse(_table(spark, folder, "informe"))
 
 
+def p1_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """What the model is fitted on: the distinct values of each group's fields."""
+    return fusion.votes(_table(spark, folder, "informe"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_pairs(_table(spark, folder, "nota"))
 
@@ -57,18 +62,23 @@ def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.found(_table(spark, folder, "documents"), _table(spark, folder, "prueba_eval")).distinct()
+    return leakage.found(_table(spark, folder, "documents"), _table(spark, folder, "prueba_eval"))
 
 
 def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.scrub(_table(spark, folder, "documents"), _table(spark, folder, "prueba_eval"))
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without any leaked passage."""
+    return leakage.scrub(_table(spark, folder, "documents"), _table(spark, folder, "prueba_eval"), remove="documents").select("doc_id")
+
+
 def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fusion, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p5_found, p5_copies, p6_pack, p7_found, p7_clean, p8_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fusion, p1_votes, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p5_found, p5_copies, p6_pack, p7_found, p7_clean, p7_kept, p8_pieces)}
 
 _NOTHING = ", ".join(f"'{w}'" for w in fusion.NOTHING)
 
@@ -95,6 +105,9 @@ def _windows(key: str, table: str) -> str:
 
 ORACLE: dict[str, str] = {
     "p7_found": f"select distinct doc_id, item_id from ({_windows('doc_id', 'documents')}) d join ({_windows('item_id', 'prueba_eval')}) e using (g)",
+    "p7_kept": f"""
+with hits as (select distinct doc_id from ({_windows('doc_id', 'documents')}) d join ({_windows('item_id', 'prueba_eval')}) e using (g))
+select doc_id from documents where doc_id not in (select doc_id from hits)""",
     "p2_found": f"""
 with t as (select row_id, {_decoded("coalesce(titulo, '') || ' ' || coalesce(resumen_aclaracion, '')")} as s from nota),
 w as (select distinct row_id, unnest(regexp_extract_all(lower(strip_accents(regexp_replace(s, '</?[A-Za-z!][^<>]*>', ' ', 'g'))), '[a-z0-9]+')) as w from t),
@@ -106,6 +119,15 @@ with t as (select row_id, lower(nfc_normalize({_decoded('titulo')})) as s from c
 k as (select row_id, list_sort(list_filter(list_transform(string_split(s, '|'), lambda p: regexp_replace(p, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda p: p <> '')) as k from t),
 g as (select k, min(row_id) as primera from k where len(k) > 0 group by k having count(*) > 1)
 select row_id, primera as primera_row_id from k join g using (k)""",
+    "p1_votes": f"""
+with base as (
+  select lote, row_id, tono_ia, tema, subtema, nullif(regexp_extract(grupo_noticia, '([0-9]+)', 1), '') as digits,
+         case lower(regexp_replace(coalesce(origen_etiqueta, ''), '^\\s+|\\s+$', '', 'g')) when 'analista' then 0 when 'modelo' then 1 when 'regla' then 2 else 3 end as trust
+  from informe),
+g as (select *, 'G' || lpad(cast(cast(digits as bigint) as varchar), cast(greatest(5, length(cast(cast(digits as bigint) as varchar))) as integer), '0') as g from base where digits is not null),
+f as (select lote, g, trust, 'tono_ia' as campo, tono_ia as v from g union all select lote, g, trust, 'tema', tema from g union all select lote, g, trust, 'subtema', subtema from g),
+k as (select *, regexp_replace(strip_accents(lower(coalesce(v, ''))), '[^a-z0-9]+', '', 'g') as clave from f)
+select lote, g as grupo_noticia, campo, clave, count(*) as votos, count(distinct trust) as fuentes from k where clave not in ({_NOTHING}) group by all""",
     "p1_found": f"""
 with base as (
   select lote, row_id, coalesce(actualizado, timestamp '0001-01-01') as momento, tono_ia, tema, subtema,

@@ -60,6 +60,43 @@ def test_model_finds_the_better_source():
     assert q.order("f") == [0, 1, 2] and q.sensitivity["f"][0] > q.sensitivity["f"][2]
 
 
+def test_the_model_decides_on_planted_sources(spark):
+    """The source declared least trusted is the best one: the free fit finds that, its qualities are those planted, and its values beat the declared order's."""
+    rng, sources, rows, truth = random.Random(3), ["analista", "modelo", "regla"], [], {}
+    planted = {"analista": (0.5, 0.7), "modelo": (0.7, 0.35), "regla": (0.95, 0.05)}  # states a true value; adds a false one
+    stated = {s: [0, 0] for s in sources}
+    totals = [0, 0]
+    for g in range(3000):
+        true = {f"v{g}x{k}" for k in range(rng.choice([1, 1, 2]))}
+        said = {s: {v for v in true if rng.random() < planted[s][0]} | ({f"f{g}{s}"} if rng.random() < planted[s][1] else set()) for s in sources}
+        seen = set().union(*said.values())
+        if not all(said.values()):
+            continue
+        truth[f"G{g:05d}"] = true & seen
+        for v in seen:
+            totals[v not in true] += 1
+            for s in sources:
+                stated[s][v not in true] += v in said[s]
+        rows += [(len(rows) + k, 1, f"G{g:05d}", s, 1, v, None, None) for k, (s, v) in enumerate((s, v) for s in sources for v in sorted(said[s]))]
+    df = informe(spark, rows)
+    q, _ = fusion.learn(fusion.prepare(df))
+    assert q.order("tono_ia")[0] == 2
+    # what a source states wrongly is told from what it states rightly: shares among the values that somebody states
+    for k, s in enumerate(sources):
+        assert abs(q.sensitivity["tono_ia"][k] - stated[s][0] / totals[0]) < 0.1
+    wrong = [1 - x for x in q.specificity["tono_ia"][:3]]
+    assert all(abs(x / sum(wrong) - stated[s][1] / totals[1]) < 0.1 for x, s in zip(wrong, sources))
+    kept = defaultdict(set)
+    for r in fusion.fuse(df).collect():
+        kept[r.grupo_noticia].add(r.valor)
+    assert set(kept) == set(truth)  # no field is lost
+    right = sum(kept[g] == t for g, t in truth.items()) / len(truth)
+    first = {r.grupo_noticia: r.row_id for r in fusion.survivors(df).collect()}
+    value = {r[0]: r[5] for r in rows}
+    by_rule = sum({value[i]} == truth[g] for g, i in first.items()) / len(first)
+    assert right > 0.8 and right > by_rule + 0.2
+
+
 # ---- 2: near duplicates
 
 
@@ -182,6 +219,8 @@ def test_ledger_in_batches(spark):
     found = {r.row_id: r.primera_row_id for r in ledger.repeated_rows(df).collect()}
     assert found == {i: min(v) for v in want.values() if len(v) > 1 for i in v}
     assert sorted((r.primera_row_id, r.copias) for r in ledger.copies(df).collect()) == sorted((min(v), len(v)) for v in want.values())
+    native = dict(map(tuple, spark.createDataFrame([(t,) for t in {t for _, t, *_ in map(tuple, df.select("row_id", "titulo").collect()) if t}], "t string").select("t", ledger.canonical_key(F.col("t"))).collect()))
+    assert len(set(native.values()) - {None}) == len(want) and all((native[t] is None) == (ledger.canonical(t) is None) for t in native)
     assert ledger.repeated_rows(df.limit(0)).count() == 0 and ledger.copies(df.where("titulo is null")).count() == 0
 
 
@@ -196,6 +235,30 @@ def test_chunks_add_up(text):
     assert c.count(text) == len(c.encoding.encode_ordinary(text))
 
 
+def test_ledger_goes_on_in_another_session(spark, tmp_path):
+    """Three batches, opened anew for each in sessions of their own and outgrowing the groups, equal one; what no batch touches stays as it is."""
+    rows = [(i, f"k{i * i % 997}" if i % 11 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id bigint, clave string")
+    whole = ledger.Ledger(spark)
+    assert whole.add(df, "clave", "row_id") == sum(k is not None for _, k in rows)
+    for k, other in enumerate((spark, spark.newSession(), spark.newSession())):
+        book = ledger.Ledger(other, str(tmp_path / "it's"), group_keys=10, bucket_keys=20)
+        assert book.state["step"] == k
+        book.add(other.createDataFrame(rows[2 - k :: 3], "row_id bigint, clave string"), "clave", "row_id")
+    again = ledger.Ledger(spark.newSession(), str(tmp_path / "it's"))
+    want = sorted(map(tuple, whole.read().collect()))
+    assert sorted(map(tuple, again.read().collect())) == want and again.state["keys"] == len(want)
+    before = dict(again.state["live"])
+    assert again.add(again.spark.createDataFrame([(-1, "k1")], "row_id bigint, clave string"), "clave", "row_id") == 1
+    assert sum(before[g] != v for g, v in again.state["live"].items()) == 1
+    assert ("k1", dict((k, n) for k, n, _ in want)["k1"] + 1, -1) in set(map(tuple, again.read().collect()))
+    late = ledger.Ledger(spark, str(tmp_path / "it's"))
+    late.state["step"] -= 1
+    with pytest.raises(Exception):
+        late.add(df, "clave", "row_id")  # another writer was first
+    assert ledger.Ledger(spark, str(tmp_path / "it's")).state == again.state
+
+
 # ---- 6: packing
 
 
@@ -289,7 +352,9 @@ def test_leaks(spark):
     want = brute_leaks(docs, items, 12)
     assert {(100, 0), (101, 1), (102, 2), (103, 3), (107, 4), (108, 5)} <= want and not any(x == 104 and y == 3 for x, y in want)
     assert {tuple(r) for r in leakage.found(d, e).collect()} == want
-    assert {tuple(r) for r in leakage.found(d, e, most=0).collect()} == want  # the shuffle way
+    assert {tuple(r) for r in leakage.found(d, e, most=150).collect()} == want  # in several chunks
+    one, many = (sorted(map(tuple, leakage.scrub(d, e, most=m).collect()), key=str) for m in (10**9, 150))
+    assert one == many
     assert leakage.found(d.limit(0), e).count() == leakage.found(d, e.limit(0)).count() == 0
     clean = spark.createDataFrame([(r.doc_id, r.text, "k") for r in leakage.scrub(d, e).collect()], schema)
     assert clean.count() == len(docs) and leakage.found(clean, e).count() == 0
