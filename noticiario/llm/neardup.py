@@ -2,7 +2,7 @@
 
 A token-group matrix over word sets. Equal sets are one class first. Every pair of classes at the threshold
 has a word among the rarest few of both (prefix filter; the order of rarity only decides how fast it goes),
-so candidates meet at such a word. There, the documents of the smaller side are partitioned into groups of
+so candidates meet at such a word (at two such words where one has too many postings). There, the documents of the smaller side are partitioned into groups of
 similar ones (in size, in the place the word has among their rarest, and in a min-hash), each group keeps the
 union of its members' words as a row of hashed bits, and a query opens a group only if its overlap with the
 union, and the words that both have behind the shared one, can still reach the threshold. Members of opened groups must pass
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticiario.functions.words import ascii_words
-from noticiario.operators.skew import skew_join
+from noticiario.operators.skew import HOT_ROWS, skew_join
 from noticiario.session import Scratch
 
 THRESHOLD = 0.7
@@ -31,9 +31,11 @@ THRESHOLD = 0.7
 COMMON = 2000
 #: Documents in a group of the matrix: few, so that the union of their words leaves most of the hashed bits free.
 GROUP = 4
-#: Postings of one word above this are split into blocks, each for a task of its own.
+#: A word with more postings meets together with a second word; a pair of words with more is split into blocks, each for a task of its own.
 POSTINGS = 20_000
 _PAIRS = 1_500_000
+#: Rows of one class in a part that meets the parts of its partners by itself.
+COPIES = 1000
 _BITS = 4  # 64-bit words of a row of hashed bits
 
 
@@ -63,8 +65,21 @@ def word_sets(df: DataFrame, row: str, texts: list[str]) -> DataFrame:
     return df.select(F.col(row).cast("bigint").alias("row_id"), *[F.col(t).alias(f"_t{k}") for k, t in enumerate(texts)]).mapInArrow(sets, "row_id bigint, clase string, n int, tokens array<bigint>")
 
 
-def _prefixes(common: np.ndarray, ranks: np.ndarray, t: float):
-    """Postings of a batch of classes: a row for each of the rarest words that a partner may share."""
+def _second(token: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One 64-bit key of two words."""
+    with np.errstate(over="ignore"):
+        h = token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + other.astype(np.uint64)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).astype(np.int64)
+
+
+def _prefixes(common: np.ndarray, ranks: np.ndarray, t: float, hot: np.ndarray | None = None):
+    """Postings of a batch of classes: a row for each of the rarest words that a partner may share.
+
+    With ``hot``, for these words only, and each together with every later word that a partner whose first
+    shared word it is may share next: two different classes at the threshold have at least two words in common,
+    the second one within a prefix that is longer by one.
+    """
 
     def run(batches):
         for batch in batches:
@@ -86,9 +101,18 @@ def _prefixes(common: np.ndarray, ranks: np.ndarray, t: float):
             probe = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
             index = n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
             place = np.arange(len(flat)) - np.repeat(first, n)  # within its document, rarest first
-            take = place < probe[doc]
-            d = doc[take]
-            arrays = [flat[order][take], ids[d], n[d].astype(np.int32), place[take].astype(np.int32), place[take] < index[d], low[d].view(np.int64), *[b[d].view(np.int64) for b in bits]]
+            words = flat[order]
+            if hot is None:
+                at = np.flatnonzero(place < probe[doc])
+                d, token, spot, indexed = doc[at], words[at], place[at], place[at] < index[doc[at]]
+            else:
+                one = np.flatnonzero((place < probe[doc]) & np.isin(words, hot))
+                more = np.maximum(np.minimum(probe[doc[one]] + 1, n[doc[one]]) - place[one] - 1, 0)  # words behind it in the longer prefix
+                one = np.repeat(one, more)
+                two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(more) - more, more)
+                d, token, spot = doc[one], _second(words[one], words[two]), place[two] - 1
+                indexed = (place[one] < index[d]) & (place[two] < index[d] + 1)
+            arrays = [token, ids[d], n[d].astype(np.int32), spot.astype(np.int32), indexed, low[d].view(np.int64), *[b[d].view(np.int64) for b in bits]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "id", "n", "puesto", "en_indice", "minimo", *[f"b{k}" for k in range(_BITS)]])
 
     return run
@@ -190,8 +214,26 @@ def classes(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     return reps, seen["rows"]
 
 
-def links(reps: DataFrame, count: int, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b: all pairs of classes whose words have a Jaccard similarity of at least ``threshold``."""
+def _blocks(postings: DataFrame, floor: int) -> DataFrame:
+    """``postings`` with ``bloque``: index rows of a key with more than ``floor`` postings are cut into blocks, which its queries all visit."""
+    counts = {r[0]: r[1] for r in postings.groupBy("token").count().where(F.col("count") > floor).collect()}  # at most rows / floor keys
+    if not counts:
+        return postings.withColumn("bloque", F.lit(0))
+    blocks = F.broadcast(postings.sparkSession.createDataFrame([(k, -(-v // floor)) for k, v in counts.items()], "token bigint, _blocks int"))
+    wide = postings.join(blocks, "token", "left")
+    own = F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))
+    return wide.withColumn("bloque", every).withColumn("en_indice", F.col("en_indice") & (F.col("bloque") == own)).drop("_blocks")
+
+
+def links(reps: DataFrame, count: int, scratch: Scratch, threshold: float = THRESHOLD, most: int | None = None) -> DataFrame:
+    """(a, b), a < b: all pairs of classes whose words have a Jaccard similarity of at least ``threshold``.
+
+    ``most``: postings from which a word is hot; by default ``POSTINGS``, or a thousandth of all. ``threshold``
+    is above 0.5, so that different classes share at least two words.
+    """
+    if not 0.5 < threshold <= 1:
+        raise ValueError(threshold)
     spark = reps.sparkSession
     often = reps.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(2, math.ceil(count / COMMON)))
     rows = sorted((r[0], r[1]) for r in often.collect())  # at most COMMON * mean words
@@ -200,17 +242,19 @@ def links(reps: DataFrame, count: int, scratch: Scratch, threshold: float = THRE
     ranks[np.lexsort((common, [r[1] for r in rows]))] = np.arange(len(rows), dtype=np.uint64)
     schema = "token bigint, id bigint, n int, puesto int, en_indice boolean, minimo bigint, " + ", ".join(f"b{k} bigint" for k in range(_BITS))
     shared = spark.sparkContext.broadcast((common, ranks))
-    postings, seen = scratch.save(reps.select("id", "n", "tokens").mapInArrow(lambda it: _prefixes(*shared.value, threshold)(it), schema))
-    floor = max(POSTINGS, seen["rows"] // 1000)
-    counts = {r[0]: r[1] for r in postings.groupBy("token").count().where(F.col("count") > floor).collect()}  # at most 1000 words
-    if counts:
-        blocks = F.broadcast(spark.createDataFrame([(k, -(-v // floor)) for k, v in counts.items()], "token bigint, _blocks int"))
-        wide = postings.join(blocks, "token", "left")
-        own = F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))
-        split = wide.withColumn("bloque", every).withColumn("en_indice", F.col("en_indice") & (F.col("bloque") == own)).drop("_blocks")
-    else:
-        split = postings.withColumn("bloque", F.lit(0))
+    sets = reps.select("id", "n", "tokens")
+    postings, seen = scratch.save(sets.mapInArrow(lambda it: _prefixes(*shared.value, threshold)(it), schema))
+    floor = most or max(POSTINGS, seen["rows"] // 1000)
+    hot = np.array(sorted(r[0] for r in postings.groupBy("token").count().where(F.col("count") > floor).select("token").collect()), np.int64)  # at most rows / floor words
+    parts = [postings]
+    if len(hot):
+        # a hot word meets together with a second one: each class gives a posting for each word of its prefix, however many classes share the hot one
+        few = F.broadcast(spark.createDataFrame([(int(h),) for h in hot], "token bigint"))
+        parts = [postings.join(few, "token", "left_anti"), scratch.save(sets.mapInArrow(lambda it: _prefixes(*shared.value, threshold, hot)(it), schema))[0]]
+    split = None
+    for part in parts:
+        placed = _blocks(part, floor)
+        split = placed if split is None else split.unionByName(placed)
     placed = split.repartition("token", "bloque").sortWithinPartitions("token", "bloque", "n", "puesto", "minimo", "id")
     near = placed.select("token", "bloque", "id", "n", "puesto", "en_indice", *[f"b{k}" for k in range(_BITS)]).mapInArrow(lambda it: _candidates(threshold)(it), "a bigint, b bigint")
     pairs = near.distinct()
@@ -234,9 +278,16 @@ def near_pairs(df: DataFrame, row: str = "row_id", texts: tuple[str, ...] = ("ti
     member = skew_join(sets.select("row_id", "clase"), reps.where("copias >= 2").select("clase", F.col("id")), ["clase"], hot=None).select("id", "row_id")
     member = member.unionByName(reps.where("copias = 1").select("id", F.col("id").alias("row_id")))
     member, _ = scratch.save(member)
-    many = member.join(reps.where("copias >= 2").select("id"), "id", "left_semi")
-    equal = many.select("id", F.col("row_id").alias("x")).join(many.select("id", F.col("row_id").alias("y")), "id").where("x < y")
-    across = found.join(member.select(F.col("id").alias("a"), F.col("row_id").alias("x")), "a").join(member.select(F.col("id").alias("b"), F.col("row_id").alias("y")), "b")
+    # the rows of a class are cut into parts of some COPIES by hash; every two parts meet by themselves
+    sized, _ = scratch.save(skew_join(member, reps.select("id", F.ceil(F.col("copias") / COPIES).cast("int").alias("_c")), ["id"]).withColumn("_p", F.pmod(F.xxhash64("row_id"), F.col("_c")).cast("int")))
+    own = sized.join(reps.where("copias >= 2").select("id"), "id", "left_semi")
+    own = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).select("id", "row_id", "_p", F.least("_p", "_o").alias("_x"), F.greatest("_p", "_o").alias("_y"))
+    x, y = (own.where(F.col("_p") == F.col(c)).select("id", "_x", "_y", F.col("row_id").alias(name)) for c, name in (("_x", "x"), ("_y", "y")))
+    equal = x.join(y, ["id", "_x", "_y"]).where("_x < _y or x < y")
+    ends = [reps.select(F.col("id").alias(e), F.sequence(F.lit(0), F.ceil(F.col("copias") / COPIES).cast("int") - 1).alias(f"_l{e}")) for e in "ab"]
+    few = None if found.count() >= HOT_ROWS else []
+    parted = skew_join(skew_join(found, ends[0], ["a"], hot=few), ends[1], ["b"], hot=few).withColumn("_pa", F.explode("_la")).select("a", "b", "_pa", F.explode("_lb").alias("_pb"))
+    across = parted.join(sized.select(F.col("id").alias("a"), F.col("_p").alias("_pa"), F.col("row_id").alias("x")), ["a", "_pa"]).join(sized.select(F.col("id").alias("b"), F.col("_p").alias("_pb"), F.col("row_id").alias("y")), ["b", "_pb"])
     out = equal.select("x", "y").unionByName(across.select("x", "y"))
     return out.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 

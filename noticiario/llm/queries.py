@@ -114,6 +114,19 @@ w as (select distinct row_id, unnest(regexp_extract_all(lower(strip_accents(rege
 n as (select row_id, count(*) as n from w group by 1),
 c as (select a.row_id as x, b.row_id as y, count(*) as k from w a join w b on a.w = b.w and a.row_id < b.row_id group by 1, 2)
 select x as row_id_a, y as row_id_b from c join n a on a.row_id = x join n b on b.row_id = y where 10 * k >= 7 * (a.n + b.n - k)""",
+    "p2_classes": f"""
+with t as (select row_id, {_decoded("coalesce(titulo, '') || ' ' || coalesce(resumen_aclaracion, '')")} as s from nota),
+l as (select row_id, list_sort(list_distinct(regexp_extract_all(lower(strip_accents(regexp_replace(s, '</?[A-Za-z!][^<>]*>', ' ', 'g'))), '[a-z0-9]+'))) as l from t),
+k as (select row_id, l, case when len(l) > 0 then min(row_id) over (partition by l) else row_id end as clase from l),
+r as (select clase, l, len(l) as n from k where row_id = clase and len(l) > 0),
+w as (select clase, unnest(l) as w from r),
+c as (select a.clase as x, b.clase as y, count(*) as k from w a join w b on a.w = b.w and a.clase <> b.clase group by 1, 2),
+e as (select x, count(*) as enlaces from c join r a on a.clase = x join r b on b.clase = y where 10 * k >= 7 * (a.n + b.n - k) group by x)
+select row_id, k.clase, coalesce(enlaces, 0) as enlaces from k left join e on e.x = k.clase""",
+    "p5_copies": f"""
+with t as (select row_id, lower(nfc_normalize({_decoded('titulo')})) as s from clipping),
+k as (select row_id, list_sort(list_filter(list_transform(string_split(s, '|'), lambda p: regexp_replace(p, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda p: p <> '')) as k from t)
+select md5(array_to_string(k, '|')) as clave, min(row_id) as primera_row_id, count(*) as copias from k where len(k) > 0 group by k""",
     "p5_found": f"""
 with t as (select row_id, lower(nfc_normalize({_decoded('titulo')})) as s from clipping),
 k as (select row_id, list_sort(list_filter(list_transform(string_split(s, '|'), lambda p: regexp_replace(p, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda p: p <> '')) as k from t),

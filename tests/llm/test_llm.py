@@ -121,8 +121,11 @@ def test_near_pairs_against_all_pairs(spark):
     assert neardup.near_pairs(df.limit(0)).count() == 0
 
 
-def test_hot_words_are_split_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "POSTINGS", 20)
+@pytest.mark.parametrize("most", [20, 60])
+def test_hot_words_are_split_without_loss(spark, monkeypatch, most):
+    """Words, and pairs of words, with more postings than the limit; classes of more copies than a part holds."""
+    monkeypatch.setattr(neardup, "POSTINGS", most)
+    monkeypatch.setattr(neardup, "COPIES", 2)
     rng = random.Random(3)
     texts = [" ".join(sorted(rng.sample([f"t{i}" for i in range(9)], 6))) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, titulo string").withColumn("resumen_aclaracion", F.lit(None).cast("string"))
