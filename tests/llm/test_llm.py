@@ -194,9 +194,59 @@ def test_happenings(spark):
     assert happenings.found(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("a,b,same", [("ferafubi", "ferafbui", True), ("ferafubi", "ferafbi", True), ("vial", "vail", True), ("vial", "via", False), ("brodapiru", "nodeveta", False), ("abcdef", "abXYef", True), ("abcdef", "aXYZef", False)])
-def test_close(a, b, same):
-    assert happenings.close(a, b) is same
+def test_close(spark):
+    cases = [("ferafubi", "ferafbui", True), ("ferafubi", "ferafbi", True), ("vial", "vail", True), ("vial", "via", False), ("brodapiru", "nodeveta", False), ("abcdef", "abXYef", True), ("abcdef", "aXYZef", False), ("sol", "sal", False), ("", "", True)]
+    df = spark.createDataFrame(cases, "a string, b string, same boolean")
+    assert df.where(happenings.close(F.col("a"), F.col("b")) != F.col("same")).collect() == []
+
+
+@pytest.mark.parametrize("crowd,partners", [(1000, 64), (2, 1)])
+def test_clusters_are_those_of_the_stories(spark, monkeypatch, crowd, partners):
+    """Invented parties and matters, misspelt names, three names in a title: whatever the limits beyond which keys are split."""
+    monkeypatch.setattr(happenings, "CROWD", crowd)
+    monkeypatch.setattr(happenings, "PARTNERS", partners)
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choices(["ba", "de", "fi", "lo", "mu", "na", "pe", "ri", "so", "tu"], k=5)).capitalize()
+    hub, titles, want = name(), [], defaultdict(set)
+    matters = ["la red de cajeros", "una beca deportiva", "el puerto fluvial", "un viñedo experimental", "la planta solar", "el archivo sonoro"]
+    places = "Altavega Brisamar Ceibales Quebradón Encinar Guadualito Juncalito Lagunilla Maderal Piedralta Riosauce Salitral Trigales".split()
+    for story in range(40):
+        a, b = (hub, name()) if story % 2 else (name(), name())
+        for matter in rng.sample(matters, 2 if story % 5 == 0 else 1):
+            number, place = rng.randrange(10000), places[(story + 7 * matters.index(matter)) % len(places)]
+            many = [f"{a} y {b}: {matter} en {place} por {number} millones", f"{matter} en {place}: así cerró {a} lo de {b} ({number})", f"Por {matter}, {b} lanzó a {a} en {place}; van {number} de alimentos", f"En {place}, {a} evaluó {matter} con {b} tras {number} días"]
+            many[story % 4] = many[story % 4].upper()
+            many += [many[0].replace(b, b[:3] + b[4:]), f"{a}, Testigo Tal y {b}: {matter} en {place} por {number}"]
+            for t in many:
+                want[(story, matter)].add(len(titles))
+                titles.append(t)
+    df = spark.createDataFrame(list(enumerate(titles)), "row_id bigint, titulo string")
+    groups = defaultdict(set)
+    for r in happenings.found(df).collect():
+        groups[r.cluster].add(r.row_id)
+    found, right = {frozenset(v) for v in groups.values()}, {frozenset(v) for v in want.values()}
+    assert found == right, [[titles[i] for i in sorted(v)] for v in sorted(found - right, key=min)[:2]]
+
+
+def test_a_member_goes_to_the_closest_medoid(spark):
+    """Two matters of one pair of parties; a form between them that an early pivot took ends with the cluster it shares most words with."""
+    forms = [(f"x{i}", ["ana", "bea"], sorted(["uno", "dos", "tres", "cuatro", f"i{i}"])) for i in range(4)] + [(f"y{i}", ["ana", "bea"], sorted(["cinco", "seis", "siete", "ocho", f"j{i}"])) for i in range(4)]
+    forms += [("z", ["ana", "bea"], sorted(["uno", "dos", "cinco", "seis", "siete"]))]
+    f = spark.createDataFrame([(k, n, o, 1) for k, n, o in forms], "forma string, nombres array<string>, otras array<string>, peso bigint")
+    keys = f.select(F.lit(1).cast("bigint").alias("clave"), "forma")
+    start = spark.createDataFrame([(k, "x0" if k[0] in "xz" else "y0") for k, _, _ in forms], "forma string, grupo string")
+    scratch = Scratch(spark, "members")
+    out = {r.forma: r.grupo for r in happenings._reassign(f, keys, scratch.save(start)[0], 9, scratch).collect()}
+    assert out["z"] == out["y1"] != out["x1"] and len(set(out.values())) == 2
+
+
+def test_titles_without_names_meet_at_their_rarest_words(spark):
+    titles = ["sube el precio del cacao en origen 4410", "cacao: sube el precio 4410 en origen", "el precio del cacao sube 4410", "otra cosa distinta 77 ocurre", "otra cosa distinta 77 ocurre hoy"]
+    df = spark.createDataFrame(list(enumerate(titles)), "row_id bigint, titulo string")
+    groups = defaultdict(set)
+    for r in happenings.found(df, least=2).collect():
+        groups[r.cluster].add(r.row_id)
+    assert {0, 1, 2} in groups.values()
 
 
 # ---- 5: ledger
