@@ -79,12 +79,13 @@ def file_name(c: Column) -> Column:
 
 
 def restore_accents(c: Column, lexicon: dict[str, str] = L.ACCENTS) -> Column:
-    """Whole words in the lexicon, or in -cion or -sion, get their accents back; an initial capital stays. White space becomes single spaces."""
+    """Whole words in the lexicon, their plurals in -s, and words in -cion or -sion get their accents back; an initial capital stays. White space becomes single spaces."""
     table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
 
     def one(w: Column) -> Column:
         low = F.lower(w)
-        found = F.coalesce(F.element_at(table, low), F.regexp_replace(low, "([cs])ion$", "$1ión"))
+        plural = F.when(low.endswith("s"), F.concat(F.element_at(table, F.regexp_replace(low, "s$", "")), F.lit("s")))
+        found = F.coalesce(F.element_at(table, low), plural, F.regexp_replace(low, "([cs])ion$", "$1ión"))
         capital = F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, 2, 10**6))
         return F.when(found == low, w).when(F.substring(w, 1, 1) != F.substring(low, 1, 1), capital).otherwise(found)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +14,27 @@ HOT_SHARE = 1 / 1000
 HOT_ROWS = 50_000
 
 
+_small: ContextVar[bool] = ContextVar("small", default=False)
+
+
+@contextmanager
+def few_rows(rows: int):
+    """Inside, tables come from so few rows that no key of theirs can be hot, nothing is counted to find one, and small numberings need no ranges. Results are the same."""
+    token = _small.set(rows < HOT_ROWS or _small.get())
+    try:
+        yield
+    finally:
+        _small.reset(token)
+
+
+def is_small() -> bool:
+    return _small.get()
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = HOT_ROWS) -> list[tuple]:
     """Keys with at least ``share`` of the rows (and ``least`` rows); at most ``1 / share`` of them."""
+    if _small.get():
+        return []
     counts = df.groupBy(*keys).count()
     total = df.count()
     floor = max(int(total * share), least)

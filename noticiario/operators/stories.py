@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from noticiario.functions.ratio import may_reach, ratio_at_least
 from noticiario.functions.text import fold
 from noticiario.functions.vectors import centroids, cosine
 from noticiario.functions import lexicon as L
-from noticiario.operators.alike import class_edges, class_pairs, ratio_pairs
+from noticiario.operators.alike import best_matches, class_edges, class_pairs, ratio_pairs
 from noticiario.operators.graph import components
 from noticiario.operators.numbering import numbered
 from noticiario.operators.skew import skew_join
@@ -75,10 +76,13 @@ def story_scores(df: DataFrame, row: str = "row_id", title: str = "titulo", summ
     return scratch.save(by_title)[0]
 
 
-def title_classes(df: DataFrame, row: str = "row_id", title: str = "titulo", theta: float = 0.92, block: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows with the class (k, its first row) of their title as compared, and (a, b, ab, ba) of all classes nearly equal, in which order. Blank titles are in none."""
+def title_classes(df: DataFrame, row: str = "row_id", title: str = "titulo", theta: float = 0.92, block: int | None = None, already: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows with the class (k, its first row) of their title as compared, and (a, b, ab, ba) of all classes nearly equal, in which order. Blank titles are in none.
+
+    ``already``: the titles are as compared.
+    """
     scratch = Scratch(df.sparkSession, "classes")
-    base, _ = scratch.save(df.select(F.col(row).cast("bigint").alias("id"), title_norm(F.col(title)).alias("t")).where("t != ''"))
+    base, _ = scratch.save(df.select(F.col(row).cast("bigint").alias("id"), (F.col(title) if already else title_norm(F.col(title))).alias("t")).where("t != ''"))
     classes, _ = scratch.save(base.groupBy("t").agg(F.min("id").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi")))
     pairs, _ = scratch.save(ratio_pairs(classes.select("k", "t"), theta, block))
     members, _ = scratch.save(skew_join(base, classes, ["t"]).withColumn("propia", F.lit(True)))
@@ -156,17 +160,20 @@ def outliers(df: DataFrame, key: str, row: str, vector: str, least: float = 0.60
     return skew_join(sims, stats.select(key, limit.alias("umbral")), [key]).withColumn("fuera", F.col("similitud") < F.col("umbral"))
 
 
-def reassign(df: DataFrame, key: str, row: str, vector: str, jump: float = 0.75, block: int = 4096) -> DataFrame:
-    """(row, key_nueva) of outliers that another key's mean fits better (and above ``jump``).
+def reassign(df: DataFrame, key: str, row: str, vector: str, jump: float = 0.75, floor: float = 0.60, block: int | None = None) -> DataFrame:
+    """(row, similitud, key_nueva) of all outliers; key_nueva is the key whose mean fits best, better than its own and above ``jump``, else null. ``row`` is a number.
 
-    The means are compared in blocks held by a Python worker; outliers are the stated query set, every mean is looked at.
+    Outliers are the stated query set: each is compared with every mean, in blocks.
     """
-    out = outliers(df, key, row, vector).where("fuera")
-    lost = df.join(out.select(row, "similitud"), row).select(row, key, vector, "similitud")
-    means = centroids(df, key, vector).select(F.col(key).alias("_k"), "centro").withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(64)))
-    sides = lost.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    best = sides.join(means, "_b").where(F.col("_k") != F.col(key)).withColumn("_s", cosine(F.col(vector), F.col("centro"))).where((F.col("_s") > jump) & (F.col("_s") > F.col("similitud")))
-    return best.groupBy(row).agg(F.max_by("_k", F.struct("_s", "_k")).alias(f"{key}_nueva"))
+    scratch = Scratch(df.sparkSession, "reassign")
+    out, seen = scratch.save(outliers(df, key, row, vector, floor=floor).where("fuera").select(row, "similitud"))
+    if not seen["rows"]:
+        return out.withColumn(f"{key}_nueva", F.lit(None).cast(df.schema[key].dataType))
+    means, _ = scratch.save(numbered(centroids(df, key, vector).where("centro is not null"), [key], "_num"))
+    lost = skew_join(df.join(out, row).select(row, key, vector, "similitud"), means.select(key, "_num"), [key])
+    best = best_matches(lost.select(F.col(row).alias("q"), F.col("_num").alias("k0"), F.greatest(F.col("similitud"), F.lit(jump)).alias("piso"), F.col(vector).alias("v")), means.select(F.col("_num").alias("k"), F.col("centro").alias("v")), block)
+    named = best.join(means.select(F.col("_num").alias("k"), F.col(key).alias(f"{key}_nueva")), "k").select(F.col("q").alias(row), f"{key}_nueva")
+    return out.join(named, row, "left")
 
 
 def membership(df: DataFrame, key: str, row: str, vector: str, least: float) -> DataFrame:
@@ -190,26 +197,68 @@ def rare_word_pairs(df: DataFrame, row: str, title: str, vector: str, rows: int,
     return both.where(cosine(F.col("vi"), F.col("vj")) >= least).select("i", "j")
 
 
-def leader_clusters(pairs: DataFrame) -> DataFrame:
-    """(id, lider): leader clustering in row order: a row not yet taken leads and takes its later partners. ``pairs``: (a, b).
+#: Pairs up to which one task plays leader clustering.
+FEW_PAIRS = 100_000
+
+
+def _lead(pdf: pd.DataFrame) -> pd.DataFrame:
+    later: dict[int, list[int]] = {}
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+        later.setdefault(a, []).append(b)
+    leader: dict[int, int] = {}
+    for i in sorted(set(pdf["a"].tolist()) | set(pdf["b"].tolist())):
+        if i not in leader:
+            leader[i] = i
+            for j in later.get(i, ()):
+                leader.setdefault(j, i)
+    return pd.DataFrame(sorted(leader.items()), columns=["id", "lider"], dtype="int64")
 
-    Components of the pairs are independent of each other, so each is replayed by itself; rows in no cluster of two are left out.
+
+def leaders(pairs: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
+    """(id, lider) of leader clustering in row order: a row not yet taken leads and takes its later partners. ``pairs``: (a, b); rows in no pair are left out.
+
+    Up to ``few`` pairs are one task's. More of them in rounds: a row leads once all its earlier partners are known to be taken; a row is taken by its first
+    leading partner once no earlier partner is undecided. No set of look-alikes is one task's.
     """
-    import pandas as pd
-
-    groups = components(pairs)
-    edges = pairs.join(groups.withColumnRenamed("id", "a"), "a").select("grupo", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            near.setdefault(a, []).append(b)
-        leader: dict[int, int] = {}
-        for i in sorted(set(pdf["a"]) | set(pdf["b"])):
-            free = [j for j in sorted(near.get(i, ())) if j not in leader]
-            if i not in leader and free:
-                leader[i] = i
-                leader.update(dict.fromkeys(free, i))
-        return pd.DataFrame(sorted(leader.items()), columns=["id", "lider"], dtype="int64")
-
-    return edges.groupBy("grupo").applyInPandas(play, "id bigint, lider bigint")
+    scratch = Scratch(pairs.sparkSession, "leaders")
+    edges, seen = scratch.save(pairs.select(F.least("a", "b").cast("bigint").alias("a"), F.greatest("a", "b").cast("bigint").alias("b")).where("a != b").distinct())
+    if seen["rows"] <= few:
+        return edges.groupBy(F.lit("all")).applyInPandas(_lead, "id bigint, lider bigint")
+    ids = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct()
+    done: list[DataFrame] = []
+    # open: edges to a row not yet decided; estado of the earlier end: null undecided, its own id leading, another id taken
+    left, count = scratch.save(ids)
+    live, _ = scratch.save(edges.withColumn("estado", F.lit(None).cast("bigint")))
+    while count["rows"]:
+        before = live.groupBy("b").agg(F.min(F.when(F.col("estado").isNull(), F.col("a"))).alias("abierto"), F.min(F.when(F.col("estado") == F.col("a"), F.col("a"))).alias("jefe"))
+        judged = left.join(before.withColumnRenamed("b", "id"), "id", "left")
+        verdict = F.when(F.col("jefe").isNotNull() & (F.col("abierto").isNull() | (F.col("jefe") < F.col("abierto"))), F.col("jefe")).when(F.col("abierto").isNull(), F.col("id"))
+        marked, _ = scratch.save(judged.select("id", verdict.alias("lider")))
+        took = marked.where("lider is not null")
+        done.append(took)
+        left, count = scratch.save(marked.where("lider is null").select("id"))
+        known = skew_join(live, took.select(F.col("id").alias("a"), "lider"), ["a"], how="left").select("a", "b", F.coalesce("estado", "lider").alias("estado"))
+        again, _ = scratch.save(known.join(left.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "estado"))
+        scratch.drop(live)
+        live = again
+    out = ids.withColumn("lider", F.col("id")).where("false")
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def leader_clusters(pairs: DataFrame) -> DataFrame:
+    """(id, lider) of :func:`leaders` in clusters of two rows or more."""
+    every, _ = Scratch(pairs.sparkSession, "clusters").save(leaders(pairs))
+    many = every.groupBy("lider").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("lider")
+    return skew_join(every, many, ["lider"]).select("id", "lider")
+
+
+def title_leaders(df: DataFrame, row: str = "row_id", title: str = "titulo", theta: float = 0.92, block: int | None = None, already: bool = False) -> DataFrame:
+    """(id, lider): leader clusters of nearly equal titles, of two rows or more. Rows of one title go where its first row goes, so only different titles are played."""
+    members, pairs = title_classes(df, row, title, theta, block, already)
+    ordered = pairs.where((F.col("ab") & (F.col("a") < F.col("b"))) | (F.col("ba") & (F.col("b") < F.col("a")))).select("a", "b")
+    heads, _ = Scratch(df.sparkSession, "heads").save(leaders(ordered))
+    every, _ = Scratch(df.sparkSession, "heads").save(skew_join(members, heads.withColumnRenamed("id", "k"), ["k"], how="left").select("id", F.coalesce("lider", "k").alias("lider")))
+    many = every.groupBy("lider").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("lider")
+    return skew_join(every, many, ["lider"]).select("id", "lider")

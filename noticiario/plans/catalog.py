@@ -562,7 +562,7 @@ def topic_repeats_subtopic(spark, folder):
 
 @query()
 def title_leaders(spark, folder):
-    return stories.leader_clusters(title_fuzzy_pairs(spark, folder).select(F.col("i").alias("a"), F.col("j").alias("b")))
+    return stories.title_leaders(table(spark, folder, "nota"))
 
 
 # ---- whole runs

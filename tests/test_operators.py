@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticiario.functions.vectors import agglomerate
+from noticiario.functions.ratio import ratio_of
+from noticiario.operators import alike
 from noticiario.operators import brand as B
 from noticiario.operators import dossier as D
 from noticiario.operators import duplicates as U
@@ -32,8 +34,9 @@ def brute_components(edges):
 def test_components(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 240)] + [(None, 3), (7, 7), (500, 501), (501, 500)]
-    out = graph.components(spark.createDataFrame(edges, "a bigint, b bigint"))
-    assert {r.id: r.grupo for r in out.collect()} == brute_components(edges)
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    for few in (10**6, 0):
+        assert {r.id: r.grupo for r in graph.components(df, few=few).collect()} == brute_components(edges)
 
 
 def test_components_of_nothing(spark):
@@ -264,3 +267,91 @@ def test_rare_pairs_keep_words_of_more_than_100_rows(spark, tmp_path):
     rows = [(k, "puerto" if k < 102 else "ab") for k in range(3500)]
     spark.createDataFrame(rows, "row_id bigint, titulo string").write.parquet(str(tmp_path / "informe.parquet"))
     assert QUERIES["rare_pairs"](spark, str(tmp_path)).count() == 102 * 101 // 2
+
+
+def brute_clusters(s, threshold, linkage):
+    """One pair at a time."""
+    groups = [[i] for i in range(len(s))]
+    join = np.mean if linkage == "average" else np.min
+    while len(groups) > 1:
+        best, i, j = max((join([s[x, y] for x in a for y in b]), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if not best > threshold:
+            break
+        groups[-i] += groups.pop(-j)
+    return sorted(sorted(g) for g in groups)
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_agglomerate_is_one_pair_at_a_time(linkage):
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        m = rng.normal(size=(25, 4))
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        label = agglomerate(m @ m.T, 0.55, linkage)
+        assert sorted(np.flatnonzero(label == c).tolist() for c in np.unique(label)) == brute_clusters(m @ m.T, 0.55, linkage)
+
+
+def vectors_of(spark, m, first=0):
+    return spark.createDataFrame([(first + i, [float(x) for x in v]) for i, v in enumerate(m)], "k bigint, v array<double>")
+
+
+def test_vector_operators_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(60, 3))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T
+    df = vectors_of(spark, m)
+    for block in (1000, 7):
+        found = {(r.a, r.b) if r.a < r.b else (r.b, r.a) for r in alike.vector_pairs(df, 0.8, block).collect()}
+        assert found == {(i, j) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.8}
+        clusters = {}
+        for r in alike.average_clusters(df, 0.7, block=block).collect():
+            clusters.setdefault(r.cluster, []).append(r.k)
+        assert sorted(map(sorted, clusters.values())) == brute_clusters(s, 0.7, "average") and all(k == min(v) for k, v in clusters.items())
+        queries = df.where("k < 20").selectExpr("k as q", "k as k0", "0.5D as piso", "v")
+        best = {r.q: r.k for r in alike.best_matches(queries, df, block).collect()}
+        want = {}
+        for i in range(20):
+            j = max((x for x in range(60) if x != i), key=lambda x: (round(s[i, x], 9), -x))
+            if s[i, j] > 0.5:
+                want[i] = j
+        assert best == want
+
+
+def test_leaders_and_replay_in_rounds(spark):
+    rng = random.Random(9)
+    for size, many in ((30, 60), (200, 150)):
+        pairs = sorted({tuple(sorted(rng.sample(range(size), 2))) for _ in range(many)} | {(i, i + 1) for i in range(300, 330)})
+        df = spark.createDataFrame(pairs, "a bigint, b bigint")
+        one, rounds = ({r.id: r.lider for r in stories.leaders(df, few).collect()} for few in (10**6, 0))
+        leader = {}
+        for i in sorted({x for p in pairs for x in p}):
+            if i not in leader:
+                leader.update({i: i} | {b: i for a, b in pairs if a == i and b not in leader})
+        assert one == rounds == leader
+        losers = [(a, b, rng.choice([a, b])) for a, b in pairs]
+        ldf = spark.createDataFrame(losers, "a bigint, b bigint, k bigint")
+        out = {}
+        for a, b, k in losers:
+            if a not in out and b not in out:
+                out[k] = a if k == b else b
+        for few in (10**6, 0):
+            assert {r.k: r.otra for r in U.replay(ldf, few).collect()} == out
+
+
+def test_one_outlet_holds_all_titles(spark):
+    """All rows in one group, blocks of a few titles: the pairs of brute force."""
+    rng = random.Random(2)
+    base = ["".join(rng.choices("abcdefgh ", k=30)).strip() for _ in range(30)]
+    titles = base + [t[:-1] + "z" for t in base[:15]]
+    df = spark.createDataFrame([("g", i, i, t) for i, t in enumerate(titles)], "grupo string, k bigint, o bigint, t string")
+    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if ratio_of(titles[i], titles[j]) >= 0.92}
+    assert {(r.a, r.b) for r in U.similar_titles(df, block=6).collect()} == want and want
+
+
+def test_reassign(spark):
+    rows = [(i, "a", [1.0, 0.01 * i]) for i in range(8)] + [(10 + i, "b", [0.01 * i, 1.0]) for i in range(8)] + [(30, "a", [0.05, 1.0]), (31, "a", [-1.0, -1.0]), (32, "a", None)]
+    df = spark.createDataFrame(rows, "row_id bigint, g string, v array<double>")
+    out = {r.row_id: r.g_nueva for r in stories.reassign(df, "g", "row_id", "v").collect()}
+    assert out == {30: "b", 31: None}
+    assert stories.reassign(df.limit(0), "g", "row_id", "v").count() == 0
