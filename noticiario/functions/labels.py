@@ -78,6 +78,11 @@ def file_name(c: Column) -> Column:
     return F.when(s == "", "marca").otherwise(s)
 
 
+def hyperlink(c: Column) -> Column:
+    """The target of a cell that is a link formula; else null."""
+    return F.nullif(F.regexp_extract(c, '=HYPERLINK\\("([^"]+)"', 1), F.lit(""))
+
+
 def restore_accents(c: Column, lexicon: dict[str, str] = L.ACCENTS) -> Column:
     """Whole words in the lexicon, their plurals in -s, and words in -cion or -sion get their accents back; an initial capital stays. White space becomes single spaces."""
     table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])

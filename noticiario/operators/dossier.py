@@ -177,3 +177,10 @@ def report(df: DataFrame) -> DataFrame:
 def kpis(df: DataFrame) -> DataFrame:
     """(total, unicas, duplicadas) in one pass."""
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("is_duplicate")).alias("unicas"), F.count_if("is_duplicate").alias("duplicadas"))
+
+
+def cache_stats(df: DataFrame, key: str) -> DataFrame:
+    """(texto): how many rows find the key of an earlier row, how many don't, and the rate in whole percent."""
+    n = df.agg(F.count(F.lit(1)).alias("t"), F.count_distinct(F.coalesce(F.col(key), F.lit(""))).alias("m"))
+    rate = F.when(F.col("t") > 0, F.bround(100 * (F.col("t") - F.col("m")) / F.col("t"), 0)).otherwise(0).cast("bigint")
+    return n.select(F.format_string("Cache: %d hits, %d misses (%d%%)", F.col("t") - F.col("m"), F.col("m"), rate).alias("texto"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,12 @@ from noticiario.functions.vectors import centroids, cosine
 from noticiario.operators import brand as B
 from noticiario.operators import dossier as D
 from noticiario.operators import duplicates as U
-from noticiario.operators import graph, labeling, stories, tone
+from noticiario.operators import alike, graph, labeling, numbering, stories, tone
 from noticiario.operators.skew import skew_join
+from noticiario.operators import subtopics, topics
 from noticiario.plans import pipeline
 from noticiario.session import Scratch
+from noticiario.sources import sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,6 +122,46 @@ def s_media(x: str) -> str:
     return f"case lower({s_strip(x)}) {cases} else {s_strip(x)} end"
 
 
+def s_decode(x: str) -> str:
+    """Named references of the Latin-1 block, quotes and dashes, once."""
+    for name, cp in sorted(name2codepoint.items()):
+        if name != "amp" and (160 <= cp < 256 or cp in (34, 60, 62) or 0x2010 <= cp <= 0x2026):
+            x = f"replace({x}, '&{name};', chr({cp}))"
+    return f"replace({x}, '&amp;', '&')"
+
+
+#: Two double and two single quotes as a SQL literal.
+_STRAIGHT = "'" + '""' + "''" * 2 + "'"
+
+
+def s_entities(x: str) -> str:
+    return f"translate({s_decode(x)}, '“”‘’Ââ€™', {_STRAIGHT})"
+
+
+def s_body(x: str) -> str:
+    flat = f"regexp_replace(regexp_replace({s_entities(x)}, '<[bB][rR]{_SP}*/?>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+    return f"case when regexp_full_match({x}, '{_SP}*') then {x} else {s_strip(flat)} end"
+
+
+def s_accents(x: str) -> str:
+    """Words looked up one by one: the fixed table, plurals in -s, then the rule."""
+    table = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in L.ACCENTS.items()) + "}"
+    found = f"coalesce({table}[lower(w)], case when lower(w) like '%s' then {table}[left(lower(w), length(w) - 1)] || 's' end, regexp_replace(lower(w), '([cs])ion$', '\\1ión'))"
+    out = f"case when {found} = lower(w) then w when left(w, 1) <> left(lower(w), 1) then upper(left({found}, 1)) || substr({found}, 2) else {found} end"
+    return f"array_to_string(list_transform({s_words(x)}, lambda w: {out}), ' ')"
+
+
+def s_capitalise(x: str) -> str:
+    a = s_accents(f"lower({x})")
+    return f"(select case when a = '' then 'Sin tema' else upper(left(a, 1)) || substr(a, 2) end from (select {a} as a))"
+
+
+def s_trim(x: str, most: int) -> str:
+    h = f"list_slice({s_words(x)}, 1, {most})"
+    kept = f"coalesce(list_max(list_transform(range(1, len({h}) + 1), lambda i: case when list_contains({s_list(L.TRAILING)}, {s_unaccent(s_bare(f'({h})[i]'))}) then 0 else i end)), 0)"
+    return f"case when len({s_words(x)}) = 0 then 'Sin tema' when {kept} = 0 then ({h})[1] else array_to_string(list_slice({h}, 1, {kept}), ' ') end"
+
+
 # ---- flagship
 
 
@@ -206,7 +249,15 @@ def topic_valid(spark, folder):
     return table(spark, folder, "informe").select("row_id", T.valid_topic(F.col("tema")).alias("valida"))
 
 
-@query()
+_UNPREFIXED = "regexp_replace(" + s_strip("coalesce(subtema, '')") + """, '^["'']+|["'']+$', '', 'g')"""
+_CASES = "x"
+for _p in L.LABEL_PREFIXES:
+    _CASES = f"case when starts_with(lower({_CASES}), '{_p}') then {s_strip(f'substr({_CASES}, {len(_p) + 1})')} else {_CASES} end" if _CASES == "x" else f"(select case when starts_with(lower(y), '{_p}') then {s_strip(f'substr(y, {len(_p) + 1})')} else y end from (select {_CASES} as y))"
+
+
+@query(f"""
+with a as (select row_id, {_UNPREFIXED} as x from informe), b as (select row_id, {_CASES} as s from a), c as (select row_id, {s_trim('s', 5)} as t from b)
+select row_id, {s_capitalise('t')} as etiqueta from c""")
 def label_clean(spark, folder):
     return table(spark, folder, "informe").select("row_id", T.clean_topic(F.col("subtema")).alias("etiqueta"))
 
@@ -235,7 +286,51 @@ def date_parse(spark, folder):
     return table(spark, folder, "clipping").select("row_id", D.parse_date(F.col("fecha")).alias("fecha"))
 
 
-@query()
+@query(f"select row_id, {s_accents('lower(titulo)')} as texto from nota")
+def accents(spark, folder):
+    """Titles in lower case with their words' accents restored."""
+    return table(spark, folder, "nota").select("row_id", T.restore_accents(F.lower("titulo")).alias("texto"))
+
+
+@query("""
+select * from (values ('gestion', 'gestión'), ('GESTION', 'Gestión'), ('Disenos', 'Diseños'), ('ensenanzas', 'enseñanzas'), ('acompanamiento', 'acompanamiento'), ('pequenas', 'peñas'), ('espana', 'España'), ('gastronomia', 'gastrónomía'),
+('regiones', 'regiones'), ('analisis', 'análisis'), ('canones', 'cañones'), ('munoz', 'Muñoz'), ('tecnologias', 'tecnologías'), ('sanciones', 'sanciones'), ('fusion', 'fusión'), ('Expansion', 'Expansión'), ('estrategia', 'estrategia'), ('ninas', 'niñas'), ('rinon', 'riñón')) t(palabra, texto)""")
+def accent_cases(spark, folder):
+    """Single words of each kind: by rule, by table, by plural, odd ones, and such as have none."""
+    words = "gestion GESTION Disenos ensenanzas acompanamiento pequenas espana gastronomia regiones analisis canones munoz tecnologias sanciones fusion Expansion estrategia ninas rinon".split()
+    df = spark.createDataFrame([(w,) for w in words], "palabra string")
+    return df.select("palabra", T.restore_accents(F.col("palabra")).alias("texto"))
+
+
+@query(f"select row_id, case when len(a) = 0 or len(b) = 0 then 0.0 else len(list_intersect(a, b)) / least(len(a), len(b)) end as comun from (select row_id, {s_distinctive('titulo')} as a, {s_distinctive('resumen_aclaracion')} as b from nota)")
+def text_overlap(spark, folder):
+    """Overlap of a note's distinctive title and summary words."""
+    return table(spark, folder, "nota").select("row_id", T.overlap(T.distinctive(F.col("titulo")), T.distinctive(F.col("resumen_aclaracion"))).alias("comun"))
+
+
+_FILE = s_strip(f"regexp_replace({s_unaccent('x')}, '[^A-Za-z0-9_-]+', '_', 'g')")
+
+
+@query(f"select row_id, case when s = '' then 'marca' else s end as archivo from (select row_id, regexp_replace({_FILE}, '^_+|_+$', '', 'g') as s from (select row_id, trim(coalesce(marca, '')) as x from nota))")
+def file_names(spark, folder):
+    return table(spark, folder, "nota").select("row_id", T.file_name(F.col("marca")).alias("archivo"))
+
+
+@query("""select doc_id, nullif(regexp_extract(celda, '=HYPERLINK\\("([^"]+)"', 1), '') as enlace from (select doc_id, case when doc_id % 3 = 0 then titulo else '=HYPERLINK("https://a.co/' || doc_id || '";"Link")' end as celda from documents)""")
+def hyperlinks(spark, folder):
+    """The target of a cell's link formula."""
+    d = table(spark, folder, "documents")
+    cell = F.when(F.col("doc_id") % 3 == 0, F.col("titulo")).otherwise(F.concat(F.lit('=HYPERLINK("https://a.co/'), F.col("doc_id").cast("string"), F.lit('";"Link")')))
+    return d.select("doc_id", T.hyperlink(cell).alias("enlace"))
+
+
+@query("select row_id, titulo, medio from clipping order by row_id limit 10")
+def preview(spark, folder):
+    """The first rows of a sheet."""
+    return sheets.preview(table(spark, folder, "clipping").select("row_id", "titulo", "medio"))
+
+
+@query(f"select row_id, {s_body('cuerpo_es')} as cuerpo from clipping")
 def body_clean(spark, folder):
     return table(spark, folder, "clipping").select("row_id", body_text(F.col("cuerpo_es")).alias("cuerpo"))
 
@@ -262,6 +357,16 @@ def media_type(spark, folder):
     return table(spark, folder, "clipping").select("row_id", t.alias("tipo"), t.isin(*D.AV).alias("av"), t.isin(*D.PRINT).alias("grafica"))
 
 
+_WIDE = " ".join(f"when '{k}' then '{v}'" for k, v in L.MEDIA_WIDE.items())
+
+
+@query(f"""select row_id, case k {_WIDE} else case when t is null or t = '' then 'Otro' else array_to_string(list_transform(string_split(lower(t), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') end end as tipo
+from (select row_id, {s_strip('tipo_de_medio')} as t, coalesce({s_strip(s_fold('tipo_de_medio'))}, '') as k from clipping)""")
+def media_type_wide(spark, folder):
+    """Media types of the duplicate rules."""
+    return table(spark, folder, "clipping").select("row_id", D.media_type_wide(F.col("tipo_de_medio")).alias("tipo"))
+
+
 def _normal(spark, folder):
     return D.normalize(table(spark, folder, "clipping"), table(spark, folder, "mapa_region"), table(spark, folder, "mapa_internet"))
 
@@ -305,7 +410,21 @@ def mention_explode(spark, folder):
     return D.expanded_index(D.explode_mentions(rows)).select("row_id", "posicion", "mencion", "expanded_index")
 
 
-@query()
+def s_clean(c: str) -> str:
+    return s_strip(s_entities(c))
+
+
+_DOSSIER = f"""
+base as (select *, lower({s_strip('medio')}) as k, {s_media('tipo_de_medio')} as tipo, {s_body('cuerpo_es')} as cuerpo, {s_clean('titulo')} as t, {s_strip('url_nota_av')} as av, {s_strip('url_streaming_imagen')} as im, {s_strip('url_nota')} as un,
+  {s_clean('menciones_empresa')} as me, {s_clean('empresa_rel')} as re, {s_date('fecha')} as f from clipping where {_NOT_BLANK}),
+lined as (select *, list_filter(list_transform(string_split(cuerpo, chr(10)), lambda x: {s_strip('x')}), lambda x: x <> '') as lineas, coalesce(tipo in ('Radio', 'Televisión'), false) as es_av, coalesce(tipo in ('Prensa', 'Internet', 'Revistas'), false) as es_gr, coalesce(tipo = 'Internet', false) as es_in from base),
+dossier as (select lined.row_id, noticia_id as id_noticia, f as fecha, hora, case when es_in then coalesce(i.valor, medio) else medio end as medio, tipo as tipo_de_medio, coalesce(r.valor, 'N/A') as region, t as titulo,
+  case when es_av then cpe when es_gr then valor_de_nota end as cpe, nullif(case when es_av then replace(av, '.com.ar', '.com.co') else im end, '') as link_nota, case when es_in then nullif(un, '') end as link_streaming,
+  case when es_gr then re else me end as menciones_empresa, case when es_av or len(lineas) <= 1 then cuerpo else array_to_string(lineas, chr(10) || chr(10)) end as resumen
+  from lined left join {s_map('mapa_region')} r on r.clave = k left join {s_map('mapa_internet')} i on i.clave = k)"""
+
+
+@query(f"with {_DOSSIER} select row_id, id_noticia, fecha, medio, tipo_de_medio, region, titulo, cpe, link_nota, link_streaming, menciones_empresa, md5(resumen) as resumen from dossier")
 def dossier_normalize(spark, folder):
     n = _normal(spark, folder)
     return n.select("row_id", "id_noticia", "fecha", "medio", "tipo_de_medio", "region", "titulo", "cpe", F.col("link_nota.url").alias("link_nota"), F.col("link_streaming.url").alias("link_streaming"), "menciones_empresa", F.md5(F.col("resumen_aclaracion").cast("binary")).alias("resumen"))
@@ -314,23 +433,28 @@ def dossier_normalize(spark, folder):
 # ---- duplicates
 
 
-@query(f"""
-with c as (select row_id, noticia_id, {s_key('medio')} as m, case when lower({s_strip("coalesce(url_nota, '')")}) in ('nan', 'none', 'null') then '' else {s_url('url_nota')} end as u from clipping),
-f as (select u, m, min(row_id) as primera, arg_min(coalesce(noticia_id, chr(0)), row_id) as id from c where u <> '' and m <> '' group by u, m)
-select c.row_id, nullif(f.id, chr(0)) as id_duplicada from c join f using (u, m) where c.row_id <> f.primera""")
-def url_duplicates(spark, folder):
-    c = table(spark, folder, "clipping").select("row_id", "noticia_id", T.key_norm(F.col("medio")).alias("m"), T.url_norm(F.col("url_nota")).alias("u"))
-    return U.first_of(c, [F.col("u"), F.col("m")], (F.col("u") != "") & (F.col("m") != ""), ["row_id"], "noticia_id").where("_is").select("row_id", F.col("_first").alias("id_duplicada"))
+def s_link(x: str) -> str:
+    inner = f"coalesce({x}, '')"
+    return f"case when lower({s_strip(inner)}) in ('nan', 'none', 'null') then '' else {s_url(x)} end"
 
 
-@query("""
-with k as (select event_id, user_id, event_type, date_trunc('hour', ts) as h from events),
-f as (select user_id, event_type, h, min(event_id) as primera from k group by all)
-select k.event_id, f.primera as id_duplicada from k join f on k.user_id = f.user_id and k.event_type = f.event_type and k.h = f.h where k.event_id <> f.primera""")
-def broadcast_duplicates(spark, folder):
-    e = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.date_trunc("hour", "ts").alias("h"))
-    keys = [F.col("user_id").cast("string"), F.col("event_type"), F.col("h").cast("string")]
-    return U.first_of(e, keys, F.col("user_id").isNotNull() & F.col("event_type").isNotNull() & F.col("h").isNotNull(), ["event_id"], "event_id").where("_is").select("event_id", F.col("_first").alias("id_duplicada"))
+_EXACT_DUPLICATES = f"""
+{_DOSSIER},
+m as (select *, list_filter(list_transform(string_split(coalesce(menciones_empresa, ''), ';'), lambda x: {s_strip('x')}), lambda x: x <> '') as l from dossier),
+x as (select *, unnest(case when len(l) > 0 then l else [''] end) as mencion, unnest(range(0, greatest(len(l), 1))) as pos from m),
+w as (select row_number() over (order by row_id, pos) - 1 as expanded_index, row_id, mencion, id_noticia, {s_key('mencion')} as mk, {s_key('medio')} as o, {s_link('link_streaming')} as s, {s_link('link_nota')} as u, coalesce({s_strip('hora')}, '') as h,
+  case coalesce({s_strip(s_fold('tipo_de_medio'))}, '') {_WIDE} else '' end as kind from x),
+f1 as (select *, mk <> '' and s <> '' as ok1, row_number() over (partition by mk <> '' and s <> '', s, mk order by expanded_index) as n1, first_value(id_noticia) over (partition by mk <> '' and s <> '', s, mk order by expanded_index) as i1 from w),
+g as (select *, ok1 and n1 > 1 as d1, case when kind = 'Internet' then 'u' || chr(31) || u when kind in ('Radio', 'Televisión') then 'h' || chr(31) || o || chr(31) || h end as key2,
+  mk <> '' and ((kind = 'Internet' and u <> '') or (kind in ('Radio', 'Televisión') and o <> '' and h <> '')) as ok2 from f1),
+f2 as (select *, ok2 and not d1 as a2, row_number() over (partition by ok2 and not d1, key2, mk order by expanded_index) as n2, first_value(id_noticia) over (partition by ok2 and not d1, key2, mk order by expanded_index) as i2 from g),
+marked as (select expanded_index, row_id, mencion, d1 or (a2 and n2 > 1) as is_duplicate, case when d1 then i1 when a2 and n2 > 1 then i2 end as id_duplicada from f2)"""
+
+
+@query(f"with {_EXACT_DUPLICATES} select * from marked")
+def exact_duplicates(spark, folder):
+    """The three exact rules (link of the note, note's address, broadcast slot) over the normalised, expanded dossier."""
+    return pipeline.expanded(_normal(spark, folder), None).select("expanded_index", "row_id", "mencion", "is_duplicate", "id_duplicada")
 
 
 @query()
@@ -339,9 +463,10 @@ def dossier_duplicates(spark, folder):
     return pipeline.expanded(_normal(spark, folder)).select("expanded_index", "row_id", "mencion", "is_duplicate", "id_duplicada")
 
 
-@query()
+@query(f"with {_EXACT_DUPLICATES} select count(*) as total, count(*) filter (not is_duplicate) as unicas, count(*) filter (is_duplicate) as duplicadas from marked")
 def dossier_kpis(spark, folder):
-    return D.kpis(pipeline.expanded(_normal(spark, folder)))
+    """Totals of a dossier marked by the exact rules."""
+    return D.kpis(pipeline.expanded(_normal(spark, folder), None))
 
 
 @query()
@@ -370,6 +495,21 @@ def brand_acronym(spark, folder):
     return table(spark, folder, "clipping").select("row_id", B.acronym_column(F.col("medio")).alias("sigla"))
 
 
+_ORIGIN = [B.plain(n) for n in B.variants("Ferrovía Cuatro", ["Lumbral", "Nevoa Telecom"]) if len(B.plain(n)) >= 2]
+_IN_TITLE, _IN_SUMMARY = (" or ".join(f"contains({c}, ' {n} ')" for n in _ORIGIN) for c in "tr")
+
+
+@query(f"""
+select row_id, nullif(concat_ws(', ', case when {_IN_TITLE} then 'Título' end, case when {_IN_SUMMARY} then 'Resumen' end), '') as origen
+from (select row_id, ' ' || {s_mention('titulo')} || ' ' as t, ' ' || {s_mention('resumen_aclaracion')} || ' ' as r from nota)""")
+def brand_origin(spark, folder):
+    """Where a brand's names stand as whole words."""
+    names = B.variants("Ferrovía Cuatro", ["Lumbral", "Nevoa Telecom"])
+    n = table(spark, folder, "nota")
+    where = F.concat_ws(", ", *[F.when(B.whole_words(T.mention_norm(F.col(c)), names), F.lit(name)) for c, name in (("titulo", "Título"), ("resumen_aclaracion", "Resumen"))])
+    return n.select("row_id", F.nullif(where, F.lit("")).alias("origen"))
+
+
 @query()
 def brand_audit(spark, folder):
     return B.audit(table(spark, folder, "nota"), "Ferrovía Cuatro", ["Lumbral", "Nevoa Telecom"], "titulo", "resumen_aclaracion").select("row_id", "marca_encontrada", "origen_coincidencia", "coincidencia_marca", "contexto_analizado")
@@ -393,11 +533,11 @@ def token_pairs(spark, folder):
 
 @query(f"""
 with w as (select row_id as id, unnest(list_distinct(list_filter(regexp_split_to_array({s_fold("coalesce(titulo, '')")}, '[^a-z]+'), lambda t: length(t) >= 5 and not list_contains({s_list(L.RARE_STOP)}, t)))) as p from informe),
-n as (select greatest(2, cast(floor(count(*) * 0.03) as bigint)) as most from informe), d as (select p from w group by p having count(*) between 2 and (select least(100, most) from n)),
+n as (select greatest(2, cast(floor(count(*) * 0.03) as bigint)) as most from informe), d as (select p from w group by p having count(*) between 2 and (select most from n)),
 r as (select w.id, w.p from w join d using (p))
 select distinct a.id as i, b.id as j from r a join r b on a.p = b.p and a.id < b.id""")
 def rare_pairs(spark, folder):
-    """Rows sharing a rare title word: one of at most 3 % of the rows. The SQL beside it also stops at 100 rows a word, so from 3367 rows on it gives fewer."""
+    """Rows sharing a rare title word: one of at most 3 % of the rows."""
     df = table(spark, folder, "informe")
     return stories.word_pairs(stories.rare_words(df, "row_id", "titulo"), stories.rare_limit(df.count()))
 
@@ -486,10 +626,29 @@ def medoid(spark, folder):
 
 
 @query(f"""with {_CENTER}, t as (select label, avg(similitud) - 2 * stddev_pop(similitud) as u from s group by label having count(*) >= 3)
-select label, vec_id, similitud < greatest(0.0, u) as fuera from s join t using (label)""")
+select label, vec_id, similitud < greatest(0.6, u) as fuera from s join t using (label)""")
 def outliers(spark, folder):
-    return stories.outliers(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", floor=0.0).select("label", "vec_id", "fuera")
+    return stories.outliers(table(spark, folder, "embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", "fuera")
+
 
+@query(f"""with {_CENTER}, t as (select label, avg(similitud) - 2 * stddev_pop(similitud) as u from s group by label having count(*) >= 3),
+o as (select s.label, vec_id, similitud from s join t using (label) where similitud < greatest(0.1, u)),
+m as (select o.vec_id, c.label, round(list_cosine_similarity(cast(e.embedding as double[]), centro), 9) as x, o.similitud from o join embeddings e using (vec_id) join c on c.label <> o.label)
+select o.vec_id, b.label as label_nueva from o left join (select vec_id, arg_min(label, (-x, label)) as label from m where x > greatest(similitud, 0.05) group by vec_id) b using (vec_id)""")
+def reassigned(spark, folder):
+    """Vectors far from their label's mean, and the label whose mean fits better (lower limits than a run's, so that these data have cases)."""
+    return stories.reassign(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", jump=0.05, floor=0.1).select("vec_id", "label_nueva")
+
+
+@query(f"""with {_CENTER.split('s as (select')[0].rstrip().rstrip(',')}
+select a.label as a, b.label as b, round(list_cosine_similarity(a.centro, b.centro), 6) as similitud, cast(row_number() over (order by round(list_cosine_similarity(a.centro, b.centro), 9) desc, a.label, b.label) as bigint) as puesto from c a join c b on a.label < b.label""")
+def sorted_pairs(spark, folder):
+    """All pairs of labels by the similarity of their means, the most similar first."""
+    means, _ = Scratch(spark, "means").save(numbering.numbered(centroids(table(spark, folder, "embeddings"), "label", "embedding"), ["label"], "k"))
+    pairs = alike.vector_pairs(means.select("k", F.col("centro").alias("v")), -1.0).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "s")
+    named = pairs.join(means.select(F.col("k").alias("x"), F.col("label").alias("a")), "x").join(means.select(F.col("k").alias("y"), F.col("label").alias("b")), "y")
+    ranked = numbering.numbered(named.withColumn("_o", -F.round("s", 9)), ["_o", "a", "b"], "puesto", 1)
+    return ranked.select("a", "b", F.round("s", 6).alias("similitud"), F.col("puesto").cast("bigint").alias("puesto"))
 
 @query(f"with {_CENTER} select label, vec_id, similitud >= 0.35 as pertenece from s")
 def membership(spark, folder):
@@ -526,7 +685,59 @@ def canonical_labels(spark, folder):
     return labeling.canonical_labels(table(spark, folder, "informe").select("row_id", "subtema"), "subtema")
 
 
-@query()
+@query("select coalesce(tema, '') as tema, count(*) as n, cast(row_number() over (order by count(*) desc, min(row_id)) as bigint) as puesto from informe group by 1")
+def group_sizes(spark, folder):
+    """Groups from the largest to the smallest, on ties the one seen first."""
+    df = table(spark, folder, "informe").select("row_id", F.coalesce("tema", F.lit("")).alias("tema"))
+    return subtopics.group_sizes(df, "tema", "row_id").select("tema", "n", F.col("puesto").cast("bigint").alias("puesto"))
+
+
+@query(f"""
+with h as (select *, row_number() over (partition by marca order by row_id) as k from (select row_id, titulo, coalesce(marca, '') as marca from nota)),
+w as (select marca, row_id, unnest(l) as p, unnest(range(0, len(l))) as pos from (select marca, row_id, {s_label_words('titulo')} as l from h where k <= 30)),
+c as (select marca, p, count(*) as n, min(row_id * 100000 + pos) as f from w where length(p) >= 4 group by 1, 2),
+r as (select *, row_number() over (partition by marca order by n desc, f) as puesto from c),
+t as (select marca, string_agg(p, ' ' order by puesto) as x from r where puesto <= 12 group by 1)
+select marca, left(marca || '. ' || marca || '. ' || coalesce(x, ''), 500) as texto from (select distinct marca from h) left join t using (marca)""")
+def group_text(spark, folder):
+    """What represents a group: its label and the commonest words of its first texts."""
+    df = table(spark, folder, "nota").select("row_id", "titulo", F.coalesce("marca", F.lit("")).alias("marca"))
+    return topics.group_text(df, "marca", "row_id", "titulo")
+
+
+_TITLE3 = s_strip("coalesce(titulo, '')")
+
+
+@query(f"""
+with t as (select left({_TITLE3} || '. ' || {_TITLE3} || '. ' || {_TITLE3} || '. ' || {s_strip("coalesce(resumen_aclaracion, '')")}, 1800) as x from nota),
+n as (select count(*) as total, count(distinct md5(x)) as misses from t)
+select 'Cache: ' || (total - misses) || ' hits, ' || misses || ' misses (' || cast(case when total > 0 then round_even(100.0 * (total - misses) / total, 0) else 0 end as bigint) || '%)' as texto from n""")
+def cache_stats(spark, folder):
+    """How many texts need no embedding of their own."""
+    return D.cache_stats(table(spark, folder, "nota").select(F.md5(T.embedding_text(F.col("titulo"), F.col("resumen_aclaracion")).cast("binary")).alias("k")), "k")
+
+
+_JOINED = s_mention("string_agg(titulo, ' ' order by row_id)")
+_ACTION = " ".join(f"when regexp_matches(x, ' ({'|'.join(words)}) ') then '{name}'" for words, name in L.ACTIONS)
+_FALL = f"""
+h as (select * from (select *, row_number() over (partition by marca order by row_id) as k from (select row_id, coalesce(titulo, '') as titulo, coalesce(marca, '') as marca from nota)) where k <= 5),
+j as (select marca, ' ' || {_JOINED} || ' ' as x from h group by marca),
+w as (select marca, row_id, unnest(l) as p, unnest(range(0, len(l))) as pos from (select marca, row_id, {s_label_words('titulo')} as l from h)),
+c as (select marca, p, count(*) as n, min(row_id * 100000 + pos) as f from w where length(p) >= 4 and not list_contains({s_list(L.FALLBACK_EMPTY)}, p) group by 1, 2),
+r as (select *, row_number() over (partition by marca order by n desc, f) as puesto from c),
+q as (select marca, list(p order by puesto) as w from r where puesto <= 3 group by marca),
+z as (select j.marca, case {_ACTION} end as accion, coalesce(q.w, []) as w from j left join q using (marca)),
+y as (select *, accion || ' de ' || array_to_string(w, ' ') as a0, w[1] || ' de ' || w[2] as b from z),
+v as (select *, {s_trim('a0', 5)} as a from y)"""
+
+
+def s_not_empty(x: str) -> str:
+    return f"len(list_filter(string_split({s_mention(x)}, ' '), lambda t: t <> '' and not list_contains({s_list(L.BRAND_EMPTY)}, t))) > 0"
+
+
+@query(f"""with {_FALL}, e as (select marca, case when len(w) = 0 then null when accion is not null and {s_complete('a')} and {s_not_empty('a')} then a when len(w) >= 2 and {s_complete('b')} and {s_not_empty('b')} then b
+  when len(w) >= 2 then 'Asuntos de ' || w[1] || ' y ' || w[2] else 'Asuntos relacionados con ' || w[1] end as l from v)
+select marca, case when l is null then '{L.FALLBACK_LABEL}' else {s_capitalise('l')} end as etiqueta from e""")
 def fallback_labels(spark, folder):
     df = table(spark, folder, "nota").select("row_id", "titulo", F.coalesce("marca", F.lit("")).alias("marca"))
     return labeling.fallback_labels(df, "marca")
