@@ -11,6 +11,7 @@ from noticiario.functions.labels import snippet, title_output
 from noticiario.functions.numeric import parse_numeric
 from noticiario.functions.text import fold, strip
 from noticiario.operators.numbering import numbered
+from noticiario.operators.skew import skew_join
 
 #: Input columns and their alternatives, first one present wins.
 ALTERNATIVES = {
@@ -71,9 +72,10 @@ SMALL_TABLE = 100_000
 def look_up(df: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
     """``df`` with the table's value as ``name``, null without one. Outlets are few: a bounded table is broadcast, so no outlet's rows gather."""
     side = table.select(F.col("clave").alias("_clave"), F.col("valor").alias(name))
+    keyed = df.withColumn("_clave", key)
     if side.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
-        side = F.broadcast(side)
-    return df.withColumn("_k", key).join(side, F.col("_k") == F.col("_clave"), "left").drop("_k", "_clave")
+        return keyed.join(F.broadcast(side), "_clave", "left").drop("_clave")
+    return skew_join(keyed, side, ["_clave"], how="left").drop("_clave")
 
 
 def normalize(df: DataFrame, regions: DataFrame | None = None, outlets: DataFrame | None = None, row: str = "row_id") -> DataFrame:

@@ -86,7 +86,7 @@ class XlsxSource(DataSource):
 
     def schema(self) -> StructType:
         head = next(rows(self._files()[0]), {})
-        names = [v[0] for _, v in sorted(head.items()) if v[0]]
+        names = [own(v[0]) for _, v in sorted(head.items()) if v[0]]
         extra = [StructField(f"{n}__url", StringType()) for n in self._links()]
         return StructType([StructField("row_id", LongType()), StructField("archivo", StringType()), *[StructField(n, StringType()) for n in names], *extra])
 
@@ -94,7 +94,12 @@ class XlsxSource(DataSource):
         return XlsxReader(self._files(), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return XlsxWriter(self.options["path"], schema, overwrite, self._links())
+        return XlsxWriter(self.options["path"], schema, overwrite, self.options.get("sheet", "Resultado"))
+
+
+def own(name: str) -> str:
+    """A sheet's column name; one that the source adds itself gets ``_hoja`` behind it."""
+    return f"{name}_hoja" if name in ("row_id", "archivo") else name
 
 
 class XlsxReader(DataSourceReader):
@@ -106,7 +111,7 @@ class XlsxReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         it = rows(partition.value)
-        head = {v[0]: k for k, v in next(it, {}).items() if v[0]}
+        head = {own(v[0]): k for k, v in next(it, {}).items() if v[0]}
         for i, row in enumerate(it, 1):
             if row:
                 cell = lambda n: row.get(head.get(n, -1), (None, None))  # noqa: B023, E731
@@ -114,8 +119,8 @@ class XlsxReader(DataSourceReader):
 
 
 class XlsxWriter(DataSourceWriter):
-    def __init__(self, path: str, schema: StructType, overwrite: bool, links: list[str]):
-        self.path, self.names, self.links = path, schema.names, links
+    def __init__(self, path: str, schema: StructType, overwrite: bool, sheet: str = "Resultado"):
+        self.path, self.names, self.sheet = path, schema.names, sheet
         if overwrite and os.path.isdir(path):
             for f in glob.glob(os.path.join(path, "*.xlsx")):
                 os.remove(f)
@@ -126,7 +131,7 @@ class XlsxWriter(DataSourceWriter):
         data += [list(r) for r in iterator]
         if len(data) > 1:
             with open(os.path.join(self.path, f"part-{uuid.uuid4().hex}.xlsx"), "wb") as f:
-                f.write(workbook(data))
+                f.write(workbook(data, self.sheet))
         return WriterCommitMessage()
 
     def commit(self, messages) -> None:

@@ -51,3 +51,20 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("firsts").count() == 3
+
+
+def test_sinks_of_the_runs(spark, tmp_path):
+    import zipfile
+
+    from noticiario.plans import pipeline
+
+    df = spark.createDataFrame([(1, "Lumbral gana premio", "Lumbral celebra.", "x"), (2, "Nada", None, "y")], "row_id bigint, titulo string, resumen_aclaracion string, tono_ia string").coalesce(1)
+    path = pipeline.sentiment_sheet(df, "Lumbral S.A.", [], str(tmp_path))
+    assert path.endswith("/sentimiento_Lumbral_S_A.xlsx")
+    spark.dataSource.register(XlsxSource)
+    back = {r["titulo"]: (r["tono_ia"], r["confianza_tono"], r["marca_encontrada"]) for r in spark.read.format("xlsx").load(path).collect()}
+    assert back == {"Lumbral gana premio": ("Positivo", "Alta", "Sí"), "Nada": ("Neutro", "Alta", "No")}
+    book = next((tmp_path / "sentimiento_Lumbral_S_A.xlsx").glob("*.xlsx"))
+    assert 'name="Sentimiento"' in zipfile.ZipFile(book).read("xl/workbook.xml").decode()
+    user = pipeline.sentiment(df, "Lumbral", [], models=pipeline.Models(user_tone=lambda texts: [-1] * len(texts)))
+    assert {r.row_id: r.tono_ia for r in user.collect()} == {1: "Negativo", 2: "Neutro"}
