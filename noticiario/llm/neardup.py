@@ -262,7 +262,9 @@ def links(reps: DataFrame, count: int, scratch: Scratch, threshold: float = THRE
     both = pairs.join(left, "a").join(right, "b")
     common_words = F.size(F.array_intersect("ta", "tb"))
     exact = both.where(common_words >= threshold * (F.col("na") + F.col("nb") - common_words) - 1e-9)
-    return scratch.save(exact.select("a", "b"))[0]
+    found, _ = scratch.save(exact.select("a", "b"))
+    scratch.drop(postings, *parts)
+    return found
 
 
 def near_pairs(df: DataFrame, row: str = "row_id", texts: tuple[str, ...] = ("titulo", "resumen_aclaracion"), threshold: float = THRESHOLD) -> DataFrame:
