@@ -103,7 +103,31 @@ def _windows(key: str, table: str) -> str:
     return f"select {key}, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select {key}, w, unnest(range(1, len(w) - 10)) as i from (select {key}, {_word_list('text')} as w from {table}))"
 
 
+def _close(x: str, y: str) -> str:
+    return f"({x} = {y} or (least(length({x}), length({y})) >= 4 and abs(length({x}) - length({y})) <= 2 and damerau_levenshtein({x}, {y}) <= case when least(length({x}), length({y})) < 6 then 1 else 2 end))"
+
+
+#: Happenings as connected rows: every two rows that share a party, agree in another one and in enough of the matter, misspellings allowed.
+_HAPPENINGS = f"""
+with recursive t as (select row_id, regexp_replace({_decoded('titulo')}, '\\s+[|–—-]\\s+[^|–—-]+$', '') as s from informe),
+w as (select row_id, unnest(l) as word, unnest(range(0, len(l))) as pos from (select row_id, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+') as l from t)),
+f as (select row_id, pos, word, lower(strip_accents(word)) as p, lag(lower(strip_accents(word))) over (partition by row_id order by pos) as before from w),
+m as (select row_id, count(*) filter (regexp_matches(word, '^\\p{{L}}')) as letters, count(*) filter (regexp_matches(word, '^\\p{{Ll}}')) as low from f group by 1),
+k as (select p, count(*) as n, count(*) filter (before in ({", ".join(f"'{x}'" for x in sorted(happenings.OF_PLACE))})) as place, count(*) filter (pos > 0 and letters > m.low and 3 * m.low >= letters and not regexp_matches(word, '^\\p{{Lu}}')) as low,
+  count(*) filter (pos > 0 and letters > m.low and 3 * m.low >= letters and regexp_matches(word, '^\\p{{Lu}}')) as cap from f join m using (row_id) where regexp_full_match(p, '[a-z]{{2,}}') and p not in ({", ".join(f"'{x}'" for x in sorted(happenings.EMPTY))}) group by p),
+names as (select p from k where (cap + low = 0 or cap >= {happenings.NAME} * (cap + low)) and place < {happenings.PLACE} * n),
+r as (select row_id, list_distinct(list(p) filter (p in (from names))) as nombres, list_distinct(list(p) filter (p not in (from names) and p not in ({", ".join(f"'{x}'" for x in sorted(happenings.EMPTY))}) and (length(p) > 1 or regexp_full_match(p, '[0-9]')))) as otras from f group by row_id),
+c as (select distinct a.row_id as x, b.row_id as y from (select row_id, unnest(nombres) as p from r) a join (select row_id, unnest(nombres) as p from r) b on a.p = b.p and a.row_id < b.row_id),
+e as (select x, y from c join r a on a.row_id = x join r b on b.row_id = y
+  where len(list_filter(a.nombres, lambda i: len(list_filter(b.nombres, lambda j: {_close('i', 'j')})) > 0)) >= 2
+  and len(list_filter(a.otras, lambda i: len(list_filter(b.otras, lambda j: {_close('i', 'j')})) > 0)) >= {happenings.MATTER} * least(len(a.otras), len(b.otras))),
+z as (select x, y from e union select y, x from e),
+reach as (select distinct x as id, x as seen from z union select reach.id, z.y from reach join z on z.x = reach.seen),
+g as (select id, min(seen) as cluster from reach group by id)
+select id as row_id, cluster from g where cluster in (select cluster from g group by cluster having count(*) >= 3)"""
+
 ORACLE: dict[str, str] = {
+    "p4_found": _HAPPENINGS,
     "p7_found": f"select distinct doc_id, item_id from ({_windows('doc_id', 'documents')}) d join ({_windows('item_id', 'prueba_eval')}) e using (g)",
     "p7_kept": f"""
 with hits as (select distinct doc_id from ({_windows('doc_id', 'documents')}) d join ({_windows('item_id', 'prueba_eval')}) e using (g))
