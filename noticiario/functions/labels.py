@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticiario.functions import lexicon as L
-from noticiario.functions.text import fold, strip, unaccent
+from noticiario.functions.text import SPACE, fold, strip, unaccent
 
 
 def _text(c: Column) -> Column:
@@ -124,8 +124,8 @@ def trim_label(c: Column, most: int = 7) -> Column:
 def clean_topic(c: Column) -> Column:
     """A label as a model may give it: without quotes and known prefixes, five words at most, capitalised."""
     s = F.regexp_replace(strip(_text(c)), "^[\"']+|[\"']+$", "")
-    for p in L.LABEL_PREFIXES:
-        s = F.when(F.lower(s).startswith(p), strip(F.substring(s, len(p) + 1, 10**6))).otherwise(s)
+    # each prefix once, in their order; one pattern, as a chain of conditions would repeat the label's expression in each
+    s = F.regexp_replace(s, "(?iu)^" + "".join(f"(?:{p}{SPACE}*)?" for p in L.LABEL_PREFIXES), "")
     return capitalise(trim_label(s, 5))
 
 
