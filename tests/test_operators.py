@@ -261,6 +261,21 @@ def test_word_pairs_of_a_word_in_many_rows(spark):
     assert stories.rare_limit(20_000) == 600 and stories.rare_limit(10) == 2
 
 
+def test_word_pairs_that_share_several_words_come_once_and_do_not_travel(spark):
+    rng = np.random.default_rng(4)
+    own = {k: {int(w) for w in rng.zipf(1.3, 12) if w < 600} for k in range(700)}
+    out = stories.word_pairs(spark.createDataFrame([(k, f"w{w}") for k, ws in own.items() for w in ws], "id bigint, palabra string"), 700)
+    rows = [tuple(r) for r in out.collect()]
+    seen = {}
+    for k, ws in own.items():
+        for w in ws:
+            seen.setdefault(w, []).append(k)
+    assert len(seen) > stories.BIT_WORDS and max(map(len, seen.values())) > stories.WORD_BLOCK
+    assert len(rows) == len(set(rows)) and set(rows) == {(i, j) for ids in seen.values() for i in ids for j in ids if i < j}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join ")]  # the pairs leave the join as they are
+
+
 def test_rare_pairs_keep_words_of_more_than_100_rows(spark, tmp_path):
     from noticiario.plans.catalog import QUERIES
 
