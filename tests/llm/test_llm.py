@@ -46,6 +46,15 @@ def test_survivors(spark):
     assert fusion.fuse(informe(spark, rows)).where("lote = 1 and campo = 'tema'").count() >= 1
 
 
+def test_survivors_fit_no_model(spark, monkeypatch):
+    def no(*_, **__):
+        raise AssertionError("the rule needs no fit")
+
+    monkeypatch.setattr(fusion, "fit", no)
+    df = informe(spark, [(1, 1, "G1", "regla", 5, None, "a", None), (2, 1, "G1", " Analista ", 1, None, "b", None)])
+    assert {r.row_id for r in fusion.survivors(df).where("campo = 'tema'").collect()} == {2}
+
+
 def test_model_finds_the_better_source():
     """Two-sided qualities are recovered from patterns drawn from known ones."""
     rng = np.random.default_rng(1)
