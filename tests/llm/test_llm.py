@@ -258,6 +258,25 @@ def test_titles_without_names_meet_at_their_rarest_words(spark):
     assert {0, 1, 2} in groups.values()
 
 
+def test_forms_of_crowded_pairs_meet_as_those_of_others(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from noticiario.session import Scratch
+
+    long = "x" * 45
+    others = [["puente", "sur"], ["puemte", "norte"], ["abcd"], ["cbad"], [], ["zorro"], ["zoro", "playa"], [long], [long[:-2]], ["uno"], ["otra", "ruta", "larga"]]
+    forms = spark.createDataFrame([(f"f{k}", k, 1, ["alfa", "beta"], o, []) for k, o in enumerate(others)] + [("f99", 99, 1, ["alfa", "gama"], ["puente"], [])], "forma string, row_id bigint, peso bigint, nombres array<string>, otras array<string>, raras array<string>")
+    one = forms.select(F.col("forma").alias("a"), F.col("nombres").alias("na"), F.col("otras").alias("oa"))
+    two = forms.select(F.col("forma").alias("b"), F.col("nombres").alias("nb"), F.col("otras").alias("ob"))
+    similar = {tuple(r) for r in one.join(two, (F.col("a") < F.col("b")) & (F.col("a") != "f99") & (F.col("b") != "f99")).where(happenings.similarity(F.col("na"), F.col("oa"), F.col("nb"), F.col("ob")) > 0).select("a", "b").collect()}
+    assert ("f0", "f1") in similar and ("f2", "f3") in similar and ("f3", "f4") in similar and ("f7", "f8") in similar
+    for left_out in ([], ["f4"]):
+        monkeypatch.setattr(happenings, "CROWD", 3)
+        keys, _ = happenings._keys(forms.where(~F.col("forma").isin(left_out)), Scratch(spark, "crowd"))
+        met = {tuple(r) for r in keys.toDF("k", "a").join(keys.toDF("k", "b"), "k").where("a < b").select("a", "b").distinct().collect()}
+        assert {p for p in similar if not set(p) & set(left_out)} <= met
+
+
 # ---- 5: ledger
 
 
