@@ -238,6 +238,33 @@ def test_title_pairs_beyond_the_cap(spark):
     assert {groups[k] for k in range(150)} == {0} and not {200, 201} & set(groups)  # no distinctive word in common
 
 
+def test_titles_meet_only_within_reach(spark):
+    """Pairs of brute force, whatever the blocks; texts whose lengths can't reach the ratio don't meet."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    base = ["".join(rng.choices("aeiou bcdñ7", k=n)) for n in (8, 9, 30, 31, 60, 61, 120, 230) for _ in range(4)]
+    texts = sorted({x for t in base for x in (t, t[:-1] + "z", t[1:], t[: len(t) // 2] + "q" + t[len(t) // 2 :], t[::-1])} | {"x" * n for n in range(1, 40)})
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    reach = lambda a, b: SequenceMatcher(None, a, b).ratio() >= 0.92
+    want = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and reach(texts[a], texts[b])}
+    for block in (None, 40):
+        out = alike.ratio_pairs(df, 0.92, block).collect()
+        assert {p for r in out for p, ok in (((r.a, r.b), r.ab), ((r.b, r.a), r.ba)) if ok} == want
+    met, count = alike.length_blocks(df, 0.92, 20)
+    blocks = met.select("_b").distinct().count()
+    assert count < blocks * (blocks + 1) // 4
+
+
+def test_ratio_of_blocks_is_difflibs():
+    from difflib import SequenceMatcher
+
+    rng, ratio = random.Random(6), alike.Ratio()
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abc ñ"[: rng.randint(1, 5)], k=rng.choice([0, 1, 5, 20, 199, 201]) if rng.random() < 0.1 else rng.randint(0, 30))) for _ in "ab")
+        assert ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
 def test_labels_without_a_common_word(spark):
     rows = [(1, "Deportes"), (2, "Deporte"), (3, "Deportes"), (4, "Sin tema"), (5, "Salud rural de montaña"), (6, "Rural salud"), (7, "Cultura"), (8, None), (9, "-")]
     df = spark.createDataFrame(rows, "row_id bigint, s string")
