@@ -256,6 +256,23 @@ def test_titles_meet_only_within_reach(spark):
     assert count < blocks * (blocks + 1) // 4
 
 
+def test_bounds_of_long_texts_are_tight():
+    """Never below the ratios of both orders; long texts of other words don't come near a ratio that counts."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghilmnopqrstuvz", weights=[12, 2, 4, 5, 13, 1, 1, 1, 7, 5, 3, 7, 9, 3, 1, 7, 8, 5, 4, 1, 1], k=rng.randint(2, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choices(words[:300] if k % 2 else words[300:], k=60))[: 290 + k] for k in range(12)]
+    texts += [texts[0][:150] + texts[1][150:], texts[0][:-9], texts[2][:199], "e" * 310, "", "abc"]
+    side, at = alike.Side(texts, 4, 4096), np.arange(len(texts))
+    there, back = side.bounds(at, at)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            if a and b:
+                assert there[i, j] >= SequenceMatcher(None, a, b).ratio() and back[i, j] >= SequenceMatcher(None, b, a).ratio()
+    assert max(there[i, j] for i in range(12) for j in range(12) if i % 2 != j % 2) < 0.55
+
+
 def test_ratio_of_blocks_is_difflibs():
     from difflib import SequenceMatcher
 
