@@ -200,6 +200,22 @@ def test_rare_word_pairs(spark):
     assert [tuple(r) for r in stories.rare_word_pairs(df, "row_id", "titulo", "v", 100).collect()] == [(1, 2)]
 
 
+def test_rare_words_meet_by_vectors_first(spark, monkeypatch):
+    """Rows that share a rare word are many, those with close vectors few: pairs of the first don't travel."""
+    monkeypatch.setattr(stories, "word_pairs", lambda *a, **k: 1 / 0)
+    rng = np.random.default_rng(6)
+    words = "puente vivero museo cosecha lluvia tarifa".split()
+    rows = [(k, " ".join(rng.choice(words, 2)) + (" aprueba" if k % 9 == 0 else " rechaza" if k % 9 == 1 else ""), [float(x) for x in rng.normal(size=3)]) for k in range(60)] + [(60, None, [1.0, 0.0, 0.0]), (61, "puente", None), (62, "puente", [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "row_id bigint, titulo string, v array<double>")
+    held = {k: {w for w in (t or "").split() if len(w) >= 5 and w not in stories.L.RARE_STOP} for k, t, _ in rows}
+    said = {k: t or "" for k, t, _ in rows}
+    many = {w: sum(w in h for h in held.values()) for w in set().union(*held.values())}
+    unit = {k: np.array(v) / (np.linalg.norm(v) or 1) for k, _, v in rows if v}
+    clash = lambda a, b: ("aprueba" in a) and ("rechaza" in b)
+    want = {(i, j) for i in unit for j in unit if i < j and any(2 <= many[w] <= 21 for w in held[i] & held[j]) and unit[i] @ unit[j] >= 0.86 and not clash(said[i], said[j]) and not clash(said[j], said[i])}
+    assert {tuple(r) for r in stories.rare_word_pairs(df, "row_id", "titulo", "v", 700).collect()} == want and want
+
+
 def test_equivalent_pairs_need_no_shared_word(spark):
     from difflib import SequenceMatcher
 
@@ -225,6 +241,30 @@ def test_equivalent_pairs_need_no_shared_word(spark):
     assert {p for p in out if 8 <= p[0] and p[1] < 60} == {(a[0], b[0]) for k, a in enumerate(made) for b in made[k + 1 :] if alike(a, b)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tones_spread_as_over_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(200)]
+    rows = [(k, " ".join(rng.choices(words, k=6)), " ".join(rng.choices(words, k=5)), rng.choice(["Neutro"] * 6 + ["Positivo", "Negativo", None, "N/A"])) for k in range(90)]
+    rows += [(100 + k, t[: rng.choice([30, 40, 60])], s[rng.choice([0, 5, 20]) :], rng.choice(["Neutro", "Neutro", "Positivo"])) for k, (_, t, s, _) in enumerate(rows[:40:2] + rows[:40:3] + rows[:40:5])] + [(200, "", None, "Positivo"), (201, "", None, "Neutro")]
+    df = spark.createDataFrame(rows, "row_id bigint, titulo string, resumen_aclaracion string, tono_ia string")
+    want = {r.row_id: r.tono_ia for r in tone.propagate(df, graph.components(tone.equivalent_edges(df), "i", "j")).collect()}
+    assert {r.row_id: r.tono_ia for r in tone.propagate_tone(df).collect()} == want
+    told = dict((r[0], r[3]) for r in rows)
+    assert any(told[k] != t for k, t in want.items()) and any(t == "Neutro" for t in want.values())
+
+
+def test_rows_that_no_pole_reaches_are_not_compared(spark, monkeypatch):
+    met = []
+    for name in ("meetings", "crossings"):
+        monkeypatch.setattr(tone, name, lambda one, *a, real=getattr(alike, name), name=name, **k: met.append((name, one.count())) or real(one, *a, **k))
+    rows = [(k, f"Titular {k * 7919} sobre {chr(97 + k % 26) * 9}", f"{chr(97 + k % 26) * 40} {k}", "Neutro") for k in range(30)]
+    df = spark.createDataFrame(rows, "row_id bigint, titulo string, resumen_aclaracion string, tono_ia string")
+    assert {r.tono_ia for r in tone.propagate_tone(df).collect()} == {"Neutro"} and not met
+    out = {r.row_id: r.tono_ia for r in tone.propagate_tone(df.withColumn("tono_ia", F.when(F.col("row_id") == 0, "Negativo").otherwise("Neutro"))).collect()}
+    assert {k for k, t in out.items() if t == "Negativo"} == {0, 26} and max(n for _, n in met) == 1
+
+
 def test_title_pairs_beyond_the_cap(spark):
     from difflib import SequenceMatcher
 
@@ -377,6 +417,24 @@ def test_vector_operators_in_blocks(spark):
         assert best == want
 
 
+def test_clusters_that_no_pair_connects_need_no_rounds(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(alike, "meetings", lambda *a, real=alike.meetings, **k: met.append(1) or real(*a, **k))
+    rng = np.random.default_rng(5)
+    m = np.concatenate([np.eye(12)[k] + rng.normal(size=(5, 12)) * 0.08 for k in range(12)] + [np.eye(12)[:1] * 0.5 - np.eye(12)[1:2]])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = vectors_of(spark, m)
+    clusters = {}
+    for r in alike.average_clusters(df, 0.93, block=7).collect():
+        clusters.setdefault(r.cluster, []).append(r.k)
+    assert sorted(map(sorted, clusters.values())) == brute_clusters(u @ u.T, 0.93, "average") and len(met) == 1
+    # one part of many, and pairs above the threshold in it: as many links as connect
+    links = alike.vector_links(df, 0.5, 7).collect()
+    assert len({tuple(r) for r in links}) == len(links) and {g for _, g in graph.components(alike.vector_links(df, 0.5, 1000), "a", "b").collect()} == {g for _, g in graph.components(alike.vector_pairs(df, 0.5), "a", "b").collect()}
+    parts = brute_components([(i, j) for i in range(len(u)) for j in range(i) if u[i] @ u[j] >= 0.5])
+    assert alike.vector_links(df, 0.5, 1000).count() == len(parts) - len(set(parts.values()))
+
+
 def test_leaders_and_replay_in_rounds(spark):
     rng = random.Random(9)
     for size, many in ((30, 60), (200, 150)):
