@@ -417,6 +417,24 @@ def test_vector_operators_in_blocks(spark):
         assert best == want
 
 
+def test_long_vectors_meet_by_few_columns_first(spark):
+    """Many words, few rows close: hardly any pair is left for the whole product, and none is lost; with all close, none either."""
+    rng = np.random.default_rng(4)
+    for spread in (1.0, 0.01):
+        m = rng.normal(size=(300, 160)) * spread * (1.0 / np.arange(1, 161)) ** 0.5 + (spread < 1)
+        m[150:200] = m[:50] + rng.normal(size=(50, 160)) * 0.05 * spread
+        u = m / np.linalg.norm(m, axis=1, keepdims=True)
+        near = {(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.9}
+        products = alike.Products(list(m), 0.9)
+        assert products.bounds.shape == (300, alike.FIRST + 1) and set(zip(*(x.tolist() for x in products.reach(np.arange(300), np.arange(300), True)))) == near
+        df = vectors_of(spark, m)
+        both = lambda out: {(min(r.a, r.b), max(r.a, r.b)) for r in out.collect()}
+        assert both(alike.vector_pairs(df, 0.9, 70)) == near
+        assert both(alike.vector_crossings(df.where("k < 100"), df.where("k >= 100"), 0.9, 70)) == {(i, j) for i, j in near if i < 100 <= j}
+    hit = rng.random((37, 53)) < 0.1
+    assert [x.tolist() for x in alike.true_at(hit)] == [x.tolist() for x in np.nonzero(hit)]
+
+
 def test_clusters_that_no_pair_connects_need_no_rounds(spark, monkeypatch):
     met = []
     monkeypatch.setattr(alike, "meetings", lambda *a, real=alike.meetings, **k: met.append(1) or real(*a, **k))
