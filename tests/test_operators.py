@@ -1,9 +1,14 @@
 import random
+from collections import Counter
+from difflib import SequenceMatcher
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from noticiario.functions.labels import conflict_bits, distinctive, embedding_text, title_norm
 from noticiario.functions.vectors import agglomerate
 from noticiario.functions.ratio import ratio_of
 from noticiario.operators import alike
@@ -368,6 +373,48 @@ def test_rare_pairs_keep_words_of_more_than_100_rows(spark, tmp_path):
     assert QUERIES["rare_pairs"](spark, str(tmp_path)).count() == 102 * 101 // 2
 
 
+def test_story_groups_lose_no_pair_at_words_of_many_rows(spark):
+    """Every word is in more than 100 rows; groups are those of all pairs, one at a time, with and without vectors."""
+    rng = np.random.default_rng(7)
+    matters = ["Feria regional del libro abre puertas", "Feria regional del libro abre sus puertas", "Feria regional ganadera abre en mayo", "Concejo aprueba plan vial regional", "Concejo rechaza plan vial regional", "Concejo aprueba y rechaza plan vial regional", "Puente colgante regional inaugurado feria", "Feria", "Ya es", "", None]
+    told = ["la gobernadora entrega obras del puente colgante", "la gobernadora entrega obras del puente antiguo", "aprueba el convenio", "rechaza el convenio", None]
+    rows = []
+    for k in range(1500):
+        t, s = matters[int(rng.integers(len(matters)))], told[int(rng.integers(len(told)))]
+        v = None if k % 11 == 0 else [float(x) for x in np.eye(3)[k % 3] + 0.3 * (k % 2)]
+        rows.append((k, t, s, v))
+    df = spark.createDataFrame(rows, "row_id bigint, titulo string, resumen_aclaracion string, v array<double>")
+    w = {r.row_id: r for r in df.select("row_id", title_norm(F.col("titulo")).alias("t"), distinctive(title_norm(F.col("titulo"))).alias("w"), distinctive(embedding_text(F.col("titulo"), F.col("resumen_aclaracion"))).alias("w4"), conflict_bits(distinctive(embedding_text(F.col("titulo"), F.col("resumen_aclaracion")), 3)).alias("bits")).collect()}
+    seen = Counter(x for r in w.values() for x in r.w)
+    assert min(seen.values()) > 100
+    one = lambda b: sum(1 << k for k in range(0, 30, 2) if b >> k & 1)
+    two = lambda b: sum(1 << k for k in range(0, 30, 2) if b >> k & 2)
+    near = cache(lambda a, b: SequenceMatcher(None, a, b).ratio() >= 0.92)
+    cos = cache(lambda x, y: np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    for vector in (None, "v"):
+        root = list(range(len(rows)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in combinations(range(len(rows)), 2):
+            a, b, x, y = w[i], w[j], rows[i][3], rows[j][3]
+            if not set(a.w) & set(b.w) or one(a.bits) & two(b.bits) or two(a.bits) & one(b.bits):
+                continue
+            close = vector and x and y and cos(tuple(x), tuple(y)) >= 0.94 and len(set(a.w4) & set(b.w4)) / min(len(a.w4), len(b.w4)) >= 0.45
+            if near(a.t, b.t) or close:
+                root[find(j)] = find(i)
+        want = {}
+        for k in range(len(rows)):
+            want.setdefault(find(k), set()).add(k)
+        out = {}
+        for r in stories.story_groups(df, vector=vector).collect():
+            out.setdefault(r.grupo_noticia, set()).add(r.row_id)
+        assert sorted(map(sorted, out.values())) == sorted(map(sorted, want.values()))
+
+
 def brute_clusters(s, threshold, linkage):
     """One pair at a time."""
     groups = [[i] for i in range(len(s))]
