@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from difflib import SequenceMatcher
 from functools import cache
@@ -365,6 +366,26 @@ def test_word_pairs_that_share_several_words_come_once_and_do_not_travel(spark):
     assert "Aggregate" not in plan[: plan.index("Join ")]  # the pairs leave the join as they are
 
 
+def test_postings_travel_once_and_leave_nothing_behind(spark, monkeypatch):
+    from noticiario import session
+
+    monkeypatch.setattr(session, "LONG", 0, raising=False)
+    disk = lambda: sum(f.getName().startswith("shuffle_") for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = disk()
+    scratch = session.Scratch(spark, "left")
+    scratch.save(spark.range(1000).repartition(7, "id"))
+    scratch.save(spark.range(10))  # Spark itself refers to its last statement
+    for _ in range(100):
+        if disk() <= before:
+            break
+        time.sleep(0.1)  # files are removed in the background
+    assert disk() <= before
+    words = spark.createDataFrame([(k, f"w{k % 3}") for k in range(90)] + [(k, f"v{k % 5}") for k in range(90)], "id bigint, palabra string")
+    out = stories.word_pairs(words, 90)
+    assert out.count() == sum(k % 3 == m % 3 or k % 5 == m % 5 for k in range(90) for m in range(k))
+    assert len(out.collect()) and "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rare_pairs_keep_words_of_more_than_100_rows(spark, tmp_path):
     from noticiario.plans.catalog import QUERIES
 
