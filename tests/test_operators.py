@@ -366,6 +366,19 @@ def test_word_pairs_that_share_several_words_come_once_and_do_not_travel(spark):
     assert "Aggregate" not in plan[: plan.index("Join ")]  # the pairs leave the join as they are
 
 
+def test_blocks_that_travel_in_waves_give_the_same_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=3)]) for k in range(60)], "k bigint, v array<double>")
+    left, right = df.where("k < 20"), df.where("k >= 20")
+    queries = left.select(F.col("k").alias("q"), F.lit(25).cast("bigint").alias("k0"), F.lit(0.2).alias("piso"), "v")
+    every = lambda: [sorted(tuple(sorted(r[:2])) for r in d.collect()) for d in (alike.vector_pairs(df, 0.6, 7), alike.vector_crossings(left, right, 0.6, 7), alike.best_matches(queries, right, 7))]
+    whole = every()
+    met = []
+    monkeypatch.setattr(alike, "TRAVEL", 1)
+    monkeypatch.setattr(alike.Scratch, "save", lambda self, d, real=alike.Scratch.save, **k: met.append(self.root) or real(self, d, **k))
+    assert every() == whole and all(whole) and sum("/waves-" in r for r in met) == 9 + 6 + 6
+
+
 def test_postings_travel_once_and_leave_nothing_behind(spark, monkeypatch):
     from noticiario import session
 
